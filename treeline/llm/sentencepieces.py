@@ -204,11 +204,9 @@ class Model:
                 begins = end > 0
                 ids = np.take_along_axis(found, np.maximum(end - np.arange(length) - 1, 0)[:, :, None], axis=2)[:, :, 0]
                 odd = ((ids < 0) & begins).any(axis=1)
-                flat, to = ids[begins], np.cumsum(begins.sum(axis=1))
-                at = 0
+                flat, to = ids[begins], np.concatenate([[0], np.cumsum(begins.sum(axis=1))])
                 for j, k in enumerate(part):
-                    out[k] = self._spell(words[k], end[j].tolist()) if odd[j] else flat[at : to[j]]
-                    at = to[j]
+                    out[k] = self._spell(words[k], end[j].tolist()) if odd[j] else flat[to[j] : to[j + 1]]
         return out
 
     def _spell(self, word: str, ends: list[int]) -> np.ndarray:
