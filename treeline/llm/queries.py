@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import mixing, pii, quality, sentencepieces, simhash
+from treeline.llm import mixing, pii, quality, sentencepieces, simhash, tokenfiles
 from treeline.llm._common import table
 
 
@@ -35,11 +37,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's tokens, from files that were written in doc_id order and read back."""
+    tokenizer = Path(tokenizer_path("byte_bpe_50k.json")).read_bytes()
+    return tokenfiles.write_and_read(table(spark, sf_dir, "documents"), tokenizer, end_id=2)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, their digest and all spans of personal data of every whole document."""
     docs = table(spark, sf_dir, "documents")
     return pii.find(docs, pii.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op6_mixing, op7_quality, op8_simhash, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op6_mixing, op7_quality, op8_simhash, op9_tokenfiles, op10_pii)}
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.mix_sql()}

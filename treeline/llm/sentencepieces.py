@@ -270,12 +270,12 @@ class Encoder:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.starts) < len(self.number) + len(words):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        for w, ids in zip(words, found, strict=True):
-            k = len(self.number)
-            self.number[w] = k
-            self.starts[k], self.sizes[k] = self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        k, sizes = len(self.number), np.fromiter(map(len, found), np.int64, len(found))
+        self.number.update(zip(words, range(k, k + len(words)), strict=True))
+        self.sizes[k : k + len(words)] = sizes
+        self.starts[k : k + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : need] = np.concatenate(found)
+        self.used = need
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text (UTF-8); none for an empty one. Texts that are longer than memory needs go in one by one."""
