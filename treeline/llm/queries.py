@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import mixing, pii, quality, sentencepieces, simhash, tokenfiles
+from treeline.llm import ann, mixing, pii, quality, sentencepieces, simhash, tokenfiles, warc
 from treeline.llm._common import table
 
 
@@ -17,6 +17,17 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written and read back."""
+    return warc.write_and_read(table(spark, sf_dir, "pages"), least=0)
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest others of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of every document in the mixture by the square roots of the sources' sizes."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -49,5 +60,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op6_mixing, op7_quality, op8_simhash, op9_tokenfiles, op10_pii)}
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.mix_sql()}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op4_warc, op5_ann, op6_mixing, op7_quality, op8_simhash, op9_tokenfiles, op10_pii)}
+ORACLE_SQL: dict[str, str] = {"op4_warc": warc.SQL, "op6_mixing": mixing.mix_sql()}
