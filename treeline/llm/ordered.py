@@ -37,6 +37,6 @@ def with_part(docs: DataFrame, cuts: list[int], name: str = "part") -> DataFrame
     place = F.aggregate(
         F.sequence(F.lit(steps - 1), F.lit(0), F.lit(-1)),
         F.lit(0),
-        lambda at, k: F.when((at + F.shiftLeft(F.lit(1), k) <= len(cuts)) & (F.element_at(array, F.least(at + F.shiftLeft(F.lit(1), k), F.lit(len(cuts)))) <= F.col("doc_id")), at + F.shiftLeft(F.lit(1), k)).otherwise(at),
+        lambda at, k: F.when((at + F.call_function("shiftleft", F.lit(1), k) <= len(cuts)) & (F.element_at(array, F.least(at + F.call_function("shiftleft", F.lit(1), k), F.lit(len(cuts)))) <= F.col("doc_id")), at + F.call_function("shiftleft", F.lit(1), k)).otherwise(at),
     )
     return docs.withColumn(name, F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place).cast("int"))

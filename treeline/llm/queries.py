@@ -8,10 +8,15 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import ann, mixing, pii, quality, sentencepieces, simhash, tokenfiles, warc
+from treeline.llm import ann, imatch, mixing, pii, quality, sentencepieces, simhash, tokenfiles, warc
 from treeline.llm._common import table
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole document and of its edited text, and their likeness."""
+    return imatch.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document by the 32k model, and whether decoding them gives the text back."""
     return sentencepieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
@@ -60,5 +65,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op4_warc, op5_ann, op6_mixing, op7_quality, op8_simhash, op9_tokenfiles, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_imatch, op2_sentencepiece, op4_warc, op5_ann, op6_mixing, op7_quality, op8_simhash, op9_tokenfiles, op10_pii)}
 ORACLE_SQL: dict[str, str] = {"op4_warc": warc.SQL, "op6_mixing": mixing.mix_sql()}
