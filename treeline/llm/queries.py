@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import ann, imatch, mixing, pii, quality, sentencepieces, simhash, tokenfiles, warc
+from treeline.llm import ann, ctw, imatch, mixing, pii, quality, sentencepieces, simhash, tokenfiles, warc
 from treeline.llm._common import table
 
 
@@ -22,6 +22,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and context-tree scores of every whole document."""
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, written and read back."""
     return warc.write_and_read(table(spark, sf_dir, "pages"), least=0)
@@ -65,5 +70,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_imatch, op2_sentencepiece, op4_warc, op5_ann, op6_mixing, op7_quality, op8_simhash, op9_tokenfiles, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_imatch, op2_sentencepiece, op3_ctw, op4_warc, op5_ann, op6_mixing, op7_quality, op8_simhash, op9_tokenfiles, op10_pii)}
 ORACLE_SQL: dict[str, str] = {"op4_warc": warc.SQL, "op6_mixing": mixing.mix_sql()}
