@@ -42,8 +42,8 @@ def repeat(df: DataFrame, times: Column, name: str) -> DataFrame:
     """Every row as often as `times` says (none for 0 or less), with the copy's number from 0; arrays stay short."""
     n = F.coalesce(times.cast("bigint"), F.lit(0))
     some = df.withColumn("_n", n).where("_n > 0")
-    blocks = some.withColumn("_from", F.explode(F.expr(f"sequence(0L, _n - 1, {COPIES}L)")))
-    return blocks.withColumn(name, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + COPIES, F.col("_n")) - 1))).drop("_n", "_from")
+    blocks = some.withColumn("_from", F.explode(F.expr(f"sequence(0L, greatest(_n, 1L) - 1, {COPIES}L)")))
+    return blocks.withColumn(name, F.explode(F.sequence(F.col("_from"), F.greatest(F.least(F.col("_from") + COPIES, F.col("_n")) - 1, F.col("_from"))))).drop("_n", "_from")
 
 
 def expand(tree: JoinTree, first: int | None = None, last: int | None = None) -> DataFrame:
