@@ -74,23 +74,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def lookup(df: DataFrame, small: DataFrame, key: str, weight: str, total: int, salt_by: Column, how: str = "left") -> DataFrame:
+def lookup(df: DataFrame, small: DataFrame, key: str, weight: str, total: int, salt_by: Column, how: str = "left", few: int = 0) -> DataFrame:
     """Equi-join df with small (one row per key; NULL equals NULL), however df's rows are spread over the keys.
 
-    small has a column `weight`: the rows of df per key; total: their sum. Keys that hold more than 1/HOT_SHARE of
+    If small is counted to have at most `few` rows, it is broadcast whole and df stays where it is. Else: small has a column `weight`: the rows of df per key; total: their sum. Keys that hold more than 1/HOT_SHARE of
     them are at most HOT_SHARE, so they are broadcast; such rows are dealt by a hash of salt_by, and the key's row of
     small is repeated for every salt. Other keys are joined on the key alone. The output has df's columns and small's
     others, without weight.
     """
+    if few and small.limit(few + 1).count() <= few:
+        right = small.withColumnRenamed(key, "__tl_key2").drop(weight)
+        return df.join(F.broadcast(right), F.col(key).eqNullSafe(F.col("__tl_key2")), how).drop("__tl_key2")
     hot = small.where(F.col(weight) * HOT_SHARE > F.lit(total))
-    flags = hot.select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot"))
-    dealt = df.join(F.broadcast(flags), F.col(key).eqNullSafe(F.col("_hot_key")), "left")
-    dealt = dealt.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(HOT_SALTS)).cast("int")).otherwise(F.lit(0))).drop("_hot", "_hot_key")
+    flags = hot.select(F.col(key).alias("__tl_hot_key"), F.lit(True).alias("__tl_hot"))
+    dealt = df.join(F.broadcast(flags), F.col(key).eqNullSafe(F.col("__tl_hot_key")), "left")
+    dealt = dealt.withColumn("__tl_salt", F.when(F.col("__tl_hot"), F.pmod(F.xxhash64(salt_by), F.lit(HOT_SALTS)).cast("int")).otherwise(F.lit(0))).drop("__tl_hot", "__tl_hot_key")
     is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = small.withColumn("_salt2", F.explode(salts)).withColumnRenamed(key, "_key2").drop(weight)
-    joined = dealt.join(right, F.col(key).eqNullSafe(F.col("_key2")) & (F.col("_salt") == F.col("_salt2")), how)
-    return joined.drop("_salt", "_salt2", "_key2")
+    right = small.withColumn("__tl_salt2", F.explode(salts)).withColumnRenamed(key, "__tl_key2").drop(weight)
+    joined = dealt.join(right, F.col(key).eqNullSafe(F.col("__tl_key2")) & (F.col("__tl_salt") == F.col("__tl_salt2")), how)
+    return joined.drop("__tl_salt", "__tl_salt2", "__tl_key2")
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:

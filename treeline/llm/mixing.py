@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from treeline.llm._common import lookup
 
 
+#: Sources whose rates are broadcast at most; more are joined by exchange.
+FEW = 10_000
+
+
 def uniform(seed: str, *parts: Column) -> Column:
     """A number in [0, 1) from the md5 of the seed and the parts as text: 52 bits, the same in any engine. NULL counts as 'null'."""
     text = F.concat_ws("|", F.lit(seed), *(F.coalesce(p.cast("string"), F.lit("null")) for p in parts))
@@ -64,15 +68,16 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, po
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, epochs: float = 1.0, seed: str = "mix") -> DataFrame:
     """docs' rows, each as often as a Poisson number with its source's rate says, in a random order over all of them.
 
-    Adds copy (from 0) and shuffle_key; rows come sorted by it over all partitions. The numbers follow from doc_id,
+    Adds copy (from 0) and shuffle_key, in place of columns of these names; rows come sorted by it over all partitions. The numbers follow from doc_id,
     source and seed alone, so equal rows get equal numbers and a lost task gives the same ones again. Sources of any
     size are looked up by lookup(): the largest share of rows in one source lands in no single task.
     """
     rates = source_rates(docs, weights, power, epochs)
     total = docs.count()
-    rated = lookup(docs, rates, "source", "n_docs", total, F.col("doc_id"))
-    times = rated.withColumn("_n", poisson(F.col("rate"), uniform(seed, F.col("doc_id"), F.col("source")))).where("_n > 0")
-    copies = times.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n", "rate")
+    rates = rates.withColumnRenamed("rate", "__tl_rate")
+    rated = lookup(docs, rates, "source", "n_docs", total, F.col("doc_id"), few=FEW)
+    times = rated.withColumn("__tl_n", poisson(F.col("__tl_rate"), uniform(seed, F.col("doc_id"), F.col("source")))).where("__tl_n > 0")
+    copies = times.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__tl_n") - 1))).drop("__tl_n", "__tl_rate")
     keyed = copies.withColumn("shuffle_key", uniform(seed + "-order", F.col("doc_id"), F.col("source"), F.col("copy")))
     return keyed.orderBy("shuffle_key", F.col("doc_id"), F.col("copy"))
 

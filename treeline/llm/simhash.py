@@ -226,5 +226,5 @@ def near_dedup(docs: DataFrame, radius: int = 4) -> DataFrame:
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # one exchange serves the join and the choice
     comp = simhash_components(docs, radius)
-    keep = comp.select(F.coalesce("component_id", F.lit(-(1 << 63))).alias("_keep_id")).distinct()
-    return docs.withColumn("_keep_id", key).join(keep, "_keep_id", "left_semi").dropDuplicates(["_keep_id"]).drop("_keep_id")
+    keep = comp.select(F.coalesce("component_id", F.lit(-(1 << 63))).alias("__tl_keep")).distinct()
+    return docs.withColumn("__tl_keep", key).join(keep, "__tl_keep", "left_semi").dropDuplicates(["__tl_keep"]).drop("__tl_keep")
