@@ -70,9 +70,7 @@ def lexicon(docs: DataFrame, s: Settings = Settings()) -> np.ndarray:
         counts, memory = np.zeros(s.slots, np.int64), Terms()
         for b in bounded_batches(it):
             for t in texts_of(b.column("text")):
-                counts += np.bincount(slots, minlength=s.slots) if len(slots := np.unique(_slot(terms_of(t, memory), s))) > s.slots // 8 else 0
-                if len(slots) <= s.slots // 8:
-                    counts[slots] += 1
+                counts[np.unique(_slot(terms_of(t, memory), s))] += 1
         used = np.flatnonzero(counts.reshape(-1, _BLOCK).any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([x.astype("<i4").tobytes() for x in counts.reshape(-1, _BLOCK)[used]], pa.binary())], names=["block", "counts"])
 
