@@ -1,0 +1 @@
+"""Scalar functions and table maintenance."""

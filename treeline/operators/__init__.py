@@ -1,0 +1 @@
+"""Counting, joining, direct access, building blocks, privacy bounds and padding."""

@@ -1,0 +1 @@
+"""Logical descriptions of queries."""

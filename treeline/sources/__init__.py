@@ -1,0 +1 @@
+"""Tables, files and built-in trees."""

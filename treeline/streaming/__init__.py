@@ -1,0 +1 @@
+"""Nothing here streams: joins over trees are answered on tables at rest."""
