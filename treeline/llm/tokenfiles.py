@@ -17,6 +17,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +30,30 @@ from treeline.llm.ordered import bounds, n_parts, with_part
 
 MAGIC = b"TLVB1\n"
 #: Tokens after which a file is closed; one document may exceed it.
-FILE_TOKENS = 8 << 20
+FILE_TOKENS = 4 << 20
 #: Words that a task remembers before it starts anew.
-REMEMBER = 600_000
+REMEMBER = 1_000_000
 #: lengths[c]: of the four tokens of control byte c.
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ranked, control, data) of uint32 ids."""
-    values, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and int(ids.max()) < 1 << 22:  # a vocabulary: counted in a table
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts)
+        counts, at = counts[values], None
+    else:
+        values, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.lexsort((values, -counts))
     rank = np.empty(len(values), np.uint32)
     rank[order] = np.arange(len(values))
-    ranks = rank[at]
+    if at is None:
+        by_id = np.zeros(int(values[-1]) + 1, np.uint32)
+        by_id[values] = rank
+        ranks = by_id[ids]
+    else:
+        ranks = rank[at]
     size = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
     codes = np.zeros(-(-len(ids) // 4) * 4, np.uint8)
     codes[: len(ids)] = size - 1
@@ -95,6 +106,15 @@ def read_file(fs: pafs.FileSystem, path: str) -> tuple[list[int | None], np.ndar
 _NO_CUT = re.compile(rb" (?=[\x00-\x20\xc2\xe1-\xe3]|\Z)")
 
 
+#: A space, perhaps, and letters of ASCII or Latin-1: one stretch for the pre-tokenizer, whatever stands around it.
+_LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: How byte-level models spell bytes: printable ones as themselves, the others from U+0100 on, in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_AS_BYTES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: A letter (ASCII, or of Latin-1 but its two signs), then ASCII punctuation to the end; an apostrophe may bind to letters.
+_STEM = re.compile(rb"( ?[^\x00-\x20]*(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)")
+
+
 def _cut(text: bytes) -> list[bytes]:
     """Cut before each space that printable ASCII or a letter follows: there every byte-level pre-tokenizer cuts too.
 
@@ -125,8 +145,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer.decode())
         self.tokenizer.encode_special_tokens = True
-        one = self.tokenizer.encode(" a\n b\n", add_special_tokens=False).ids
-        self.line_feed = one[1] if len(one) == 4 and one[1] == one[3] else None
+        told = json.loads(tokenizer)
+        cut, added = told.get("pre_tokenizer") or {}, [t["content"] for t in told.get("added_tokens") or []]
+        # only of a byte-level tokenizer is it known where it cuts
+        self.byte_level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not told.get("normalizer") and not any(t.isalpha() for t in added)
         self._forget()
 
     def _forget(self) -> None:
@@ -135,45 +157,54 @@ class Encoder:
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
-        # stretches that begin with a space go to the library many at once, with line feeds between, which it keeps apart
-        plain = [w for w in new if w[0] == 32 and b"\n" not in w and not w[-1:].isspace() and len(w) < 1000] if self.line_feed is not None else []
-        if len(plain) < len(new):
-            known = set(plain)
-            plain += (odd := [w for w in new if w not in known])
-        else:
-            odd = []
-        n = len(plain) - len(odd)
-        ids, sizes = [], []
-        for lo in range(0, n, 2000):
-            block = plain[lo : min(n, lo + 2000)]
-            got = np.array(self.tokenizer.encode_batch_fast([b"\n".join([*block, b""]).decode()], add_special_tokens=False)[0].ids, np.uint32)
-            at = np.flatnonzero(got == self.line_feed)
-            if len(at) != len(block):
-                raise RuntimeError("the tokenizer does not keep line feeds apart")
-            ids.append(got[got != self.line_feed])
-            sizes.append(np.diff(at, prepend=-1) - 1)
-        for e in self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False):
-            ids.append(np.array(e.ids, np.uint32))
-            sizes.append(np.array([len(e.ids)]))
-        new, sizes = plain, np.concatenate(sizes).astype(np.int64)
-        k, need = len(self.number), self.used + int(sizes.sum())
+        """Ids of new stretches: the model alone for runs of letters, which are one piece for it; the whole tokenizer else."""
+        letters = [w for w in new if _LETTERS.fullmatch(w)]
+        known = set(letters)
+        other = [w for w in new if w not in known]
+        model = self.tokenizer.model
+        ids = [[t.id for t in model.tokenize(w.decode("latin-1").translate(_AS_BYTES))] for w in letters]
+        ids += [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._keep(letters + other, sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))
+
+    def _compose(self, new: list[bytes]) -> None:
+        """Learn stretches; what ends in ASCII punctuation after a letter is its stem and the punctuation, apart as the
+        pre-tokenizer has them, so that a stem is worked out once whatever follows it."""
+        parts = {w: m.groups() for w in new if (m := _STEM.fullmatch(w))}
+        stems = dict.fromkeys(x for p in parts.values() for x in p)
+        self._learn([w for w in dict.fromkeys([*stems, *(w for w in new if w not in parts)]) if w not in self.number])
+        if not parts:
+            return
+        whole = [w for w in parts if w not in self.number]
+        a, b = (np.array([self.number[parts[w][k]] for w in whole], np.int64) for k in (0, 1))
+        na, nb = self.sizes[a], self.sizes[b]
+        pieces = np.stack([a, b], axis=1).ravel()
+        n = self.sizes[pieces]
+        flat = self.flat[np.repeat(self.starts[pieces] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        self._keep(whole, na + nb, flat)
+
+    def _keep(self, words: list[bytes], sizes: np.ndarray, flat: np.ndarray) -> None:
+        """Store the ids of words, one after the other in flat."""
+        k, need = len(self.number), self.used + len(flat)
         while len(self.flat) < need:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.starts) < k + len(new):
+        while len(self.starts) < k + len(words):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.number.update(zip(new, range(k, k + len(new)), strict=True))
-        self.sizes[k : k + len(new)] = sizes
-        self.starts[k : k + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : need] = np.concatenate(ids)
+        self.number.update(zip(words, range(k, k + len(words)), strict=True))
+        self.sizes[k : k + len(words)] = sizes
+        self.starts[k : k + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : need] = flat
         self.used = need
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not self.byte_level:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         if len(self.number) > REMEMBER:
             self._forget()
         cut = [_cut(t) for t in texts]
         new = list(dict.fromkeys(w for c in cut for w in c if w not in self.number))
         if new:
-            self._learn(new)
+            self._compose(new)
         out = []
         for c in cut:
             k = np.fromiter(map(self.number.__getitem__, c), np.int64, len(c))
