@@ -167,7 +167,7 @@ class Encoder:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self._keep(letters + other, sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))
 
-    def _compose(self, new: list[bytes]) -> None:
+    def _compose(self, new: set[bytes]) -> None:
         """Learn stretches; what ends in ASCII punctuation after a letter is its stem and the punctuation, apart as the
         pre-tokenizer has them, so that a stem is worked out once whatever follows it."""
         parts = {w: m.groups() for w in new if (m := _STEM.fullmatch(w))}
@@ -202,7 +202,7 @@ class Encoder:
         if len(self.number) > REMEMBER:
             self._forget()
         cut = [_cut(t) for t in texts]
-        new = list(dict.fromkeys(w for c in cut for w in c if w not in self.number))
+        new = set(chain.from_iterable(cut)).difference(self.number)
         if new:
             self._compose(new)
         out = []
