@@ -24,7 +24,11 @@ from treeline.llm._common import bounded_batches, materialize, texts_of
 DEPTH = 5
 #: Bytes of a file that make one block of documents, about.
 BLOCK_BYTES = 16 << 20
-_LOW = (1 << (8 * (DEPTH + 1))) - 1
+#: Depth from which a context's subtree is worked out in one piece: at most 256 ** (DEPTH - SPLIT + 1) grams, a fixed bound.
+SPLIT = 3
+#: Grams that are worked out together, about.
+PIECE = 400_000
+_HALF = math.log(0.5)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -113,39 +117,98 @@ def _block(a: Column, b: Column) -> Column:
     return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1.0) - math.log(math.pi)
 
 
-def _bits(g: Column) -> Column:
-    """The eight decisions of a gram's byte: node (1 and the bits so far) and bit."""
-    one = lambda k: F.struct(F.shiftright(g.bitwiseAND(255) + 256, 8 - k).alias("node"), F.shiftright(g, 7 - k).bitwiseAND(1).alias("bit"))
-    return F.array(*(one(k) for k in range(8)))
+def _ln_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """_block() for arrays."""
+
+    def lgamma(x: np.ndarray) -> np.ndarray:
+        y = x + 8
+        series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+        up = x * (x + 1) * (x + 2) * (x + 3)
+        return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(up) - np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+
+    return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - math.log(math.pi)
+
+
+class _Subtrees:
+    """The levels DEPTH to SPLIT of all decisions of some grams: counts, trust and how nodes hang together.
+
+    A decision is a context and a node (1 and the bits of the byte so far), packed as context * 256 + node.
+    """
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        k = np.arange(8, dtype=np.uint64)
+        byte, ctx = grams & np.uint64(255), grams >> np.uint64(8)
+        node = (byte[:, None] | np.uint64(256)) >> (np.uint64(8) - k)
+        self.bit = ((byte[:, None] >> (np.uint64(7) - k)) & np.uint64(1)).astype(bool).ravel()
+        keys, self.at = np.unique(((ctx << np.uint64(8))[:, None] | node).ravel(), return_inverse=True)
+        n = np.repeat(counts, 8)
+        a = np.bincount(self.at, np.where(self.bit, 0, n), len(keys))
+        b = np.bincount(self.at, np.where(self.bit, n, 0), len(keys))
+        self.levels = [(a, b, np.ones(len(keys)))]  # zeros, ones, trust in a node's own estimate
+        self.up: list[np.ndarray] = []
+        lw = _ln_block(a, b)
+        for depth in range(DEPTH - 1, SPLIT - 1, -1):
+            keys, up = np.unique(keys & np.uint64((1 << (8 * (depth + 1))) - 1), return_inverse=True)
+            a, b, below = (np.bincount(up, x, len(keys)) for x in (a, b, lw))
+            own = _HALF + _ln_block(a, b)
+            lw = np.logaddexp(own, _HALF + below)
+            self.levels.append((a, b, np.exp(own - lw)))
+            self.up.append(up)
+        self.keys, self.lw = keys, lw
+
+    def scores(self, known: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """log10 of each gram's byte: the prediction at SPLIT is known + rest * (what the deeper nodes say)."""
+        for depth in range(len(self.up) - 1, -1, -1):
+            a, b, stop = self.levels[depth]
+            known, rest = known[self.up[depth]], rest[self.up[depth]]
+            known = known + rest * stop * (b + 0.5) / (a + b + 1)
+            rest = rest * (1 - stop)
+        one = known[self.at]
+        return np.log10(np.where(self.bit, one, 1 - one)).reshape(-1, 8).sum(axis=1)
+
+
+def _upper(piece: pa.Table) -> pa.Table:
+    t = _Subtrees(piece["g"].to_numpy().view(np.uint64), piece["n"].to_numpy())
+    a, b, _ = t.levels[-1]
+    return pa.table({"ctx": (t.keys >> np.uint64(8)).astype(np.int64), "node": (t.keys & np.uint64(255)).astype(np.int32), "a": a.astype(np.int64), "b": b.astype(np.int64), "lw": t.lw, "stop": t.levels[-1][2]})
+
+
+def _lower(piece: pa.Table, above: pa.Table) -> pa.Table:
+    t = _Subtrees(piece["g"].to_numpy().view(np.uint64), piece["n"].to_numpy())
+    key = (above["ctx"].to_numpy().astype(np.uint64) << np.uint64(8)) | above["node"].to_numpy().astype(np.uint64)
+    order = np.argsort(key)
+    if not (key[order] == t.keys).all():
+        raise RuntimeError("a context was not counted")
+    return pa.table({"g": piece["g"], "lp": t.scores(above["known"].to_numpy()[order], above["rest"].to_numpy()[order])})
 
 
 def predictions(counts: DataFrame) -> DataFrame:
-    """g, lp: log10 of the probability of each gram's byte in its context. counts: g, n (0 where only seen to be scored)."""
-    rows = counts.select("g", "n", F.explode(_bits(F.col("g"))).alias("b")).select("g", "n", F.shiftrightunsigned("g", 8).alias("ctx"), "b.node", "b.bit")
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    deepest = rows.groupBy("ctx", "node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("b"))
-    half = math.log(0.5)
-    trees: list[DataFrame] = []
-    level, _ = materialize(deepest.withColumn("lw", _block(a, b)).withColumn("stop", F.lit(1.0)), "ctw")
-    trees.append(level)
-    for d in range(DEPTH - 1, -1, -1):
+    """g, lp: log10 of the probability of each gram's byte in its context. counts: g, n (0 where only seen to be scored).
+
+    Subtrees below SPLIT bytes of context are worked out in pieces, what is above by joins of small tables.
+    """
+    low = (1 << (8 * SPLIT)) - 1
+    pieces = max(1, counts.count() // PIECE)
+    deal = lambda ctx: F.pmod(F.xxhash64(ctx.bitwiseAND(low)), F.lit(pieces)).cast("int")
+    dealt = counts.select("g", "n", deal(F.shiftrightunsigned("g", 8)).alias("piece"))
+    level, _ = materialize(dealt.groupBy("piece").applyInArrow(_upper, "ctx long, node int, a long, b long, lw double, stop double"), "ctw")
+    trees, a, b = [level], F.col("a").cast("double"), F.col("b").cast("double")
+    for d in range(SPLIT - 1, -1, -1):
         up = level.groupBy(F.col("ctx").bitwiseAND((1 << (8 * d)) - 1).alias("ctx"), "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("lw").alias("below"))
-        own, below = half + _block(a, b), half + F.col("below")
-        most = F.greatest("own", "below2")
-        up = up.withColumn("own", own).withColumn("below2", below).withColumn("lw", most + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below2")))))
+        up = up.withColumn("own", _HALF + _block(a, b)).withColumn("other", _HALF + F.col("below"))
+        up = up.withColumn("lw", F.greatest("own", "other") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("other")))))
         level, _ = materialize(up.select("ctx", "node", "a", "b", "lw", F.exp(F.col("own") - F.col("lw")).alias("stop")), "ctw")
         trees.append(level)
     trees.reverse()
     kt = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1.0)
     # from the root down: the prediction is known + rest * (what the deeper nodes say)
     at = trees[0].select("ctx", "node", (F.col("stop") * kt).alias("known"), (1.0 - F.col("stop")).alias("rest"))
-    for d in range(1, DEPTH + 1):
+    for d in range(1, SPLIT + 1):
         above = at.select(F.col("ctx").alias("_up"), F.col("node").alias("_node"), F.col("known").alias("_known"), F.col("rest").alias("_rest"))
         joined = trees[d].join(above, (F.col("ctx").bitwiseAND((1 << (8 * (d - 1))) - 1) == F.col("_up")) & (F.col("node") == F.col("_node")))
         at = joined.select("ctx", "node", (F.col("_known") + F.col("_rest") * F.col("stop") * kt).alias("known"), (F.col("_rest") * (1.0 - F.col("stop"))).alias("rest"))
-    one = at.select(F.col("ctx").alias("_ctx"), F.col("node").alias("_node"), F.col("known").alias("p1"))
-    scored = rows.join(one, (F.col("ctx") == F.col("_ctx")) & (F.col("node") == F.col("_node")))
-    return scored.groupBy("g").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p1")).otherwise(1.0 - F.col("p1")))).alias("lp"))
+    at = at.withColumn("piece", deal(F.col("ctx")))
+    return dealt.groupBy("piece").cogroup(at.groupBy("piece")).applyInArrow(_lower, "g long, lp double")
 
 
 class _Lookup:
@@ -202,6 +265,16 @@ def score(docs: DataFrame) -> DataFrame:
     Trained on the rows that held_out() leaves. NULL and empty texts are an end alone. Equal texts get equal scores. An
     empty table gives an empty result; without training texts every decision is even. Other columns are not looked at.
     """
+    spark, key = docs.sparkSession, "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "1")  # files are split alike in both passes, however many cores there are meanwhile
+    try:
+        return materialize(_score_all(docs), "scores")[0]
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _score_all(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
@@ -213,7 +286,8 @@ def score(docs: DataFrame) -> DataFrame:
     used, _ = materialize(own.mapInArrow(_count, "block long, g long, word binary, n long"), "used")
     words, _ = materialize(used.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    lp, _ = materialize(predictions(used.where("g IS NOT NULL").groupBy("g").agg(F.sum("n").alias("n"))), "predictions")
+    counted, _ = materialize(used.where("g IS NOT NULL").groupBy("g").agg(F.sum("n").alias("n")), "grams")
+    lp, _ = materialize(predictions(counted), "predictions")
     no_word, no_gram = F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("g")
     facts = used.where("g IS NOT NULL").join(lp, "g").select("block", "g", no_word, F.col("lp").alias("value")).union(used.where("word IS NOT NULL").join(words, "word").select("block", no_gram, "word", F.col("c").cast("double").alias("value")))
     return own.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(_score(int(total), int(distinct)), _COLUMNS)
