@@ -29,6 +29,8 @@ SPLIT = 3
 #: Grams that are worked out together, about.
 PIECE = 400_000
 _HALF = math.log(0.5)
+#: Bytes of text whose grams are held at once, and grams that wait to be merged at most.
+SLICE, WAITING = 1 << 20, 1_500_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -61,6 +63,14 @@ class _Counts:
         self.grams = np.zeros(0, np.uint64)
         self.counts = np.zeros(0, np.int64)
         self.words: Counter = Counter()
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merge(self) -> None:
+        """Bring what add() left waiting into the sorted arrays."""
+        if self.waiting:
+            both, back = np.unique(np.concatenate([self.grams, *(g for g, _ in self.waiting)]), return_inverse=True)
+            self.counts = np.bincount(back, np.concatenate([self.counts, *(n for _, n in self.waiting)]), len(both)).astype(np.int64)
+            self.grams, self.waiting = both, []
 
     def add(self, texts: list[bytes], held: list[bool]) -> None:
         split = [words_of(t) for t in texts]
@@ -78,9 +88,9 @@ class _Counts:
         key = np.sort((g << np.uint64(1)) | train)
         first = np.flatnonzero(np.diff(key >> np.uint64(1), prepend=np.uint64(1 << 63)))
         n = np.add.reduceat((key & np.uint64(1)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        both, back = np.unique(np.concatenate([self.grams, key[first] >> np.uint64(1)]), return_inverse=True)
-        self.counts = np.bincount(back, np.concatenate([self.counts, n]), len(both)).astype(np.int64)
-        self.grams = both
+        self.waiting.append((key[first] >> np.uint64(1), n))
+        if sum(len(g) for g, _ in self.waiting) > WAITING:
+            self.merge()
 
 
 _FACT = pa.schema([("block", pa.int64()), ("g", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
@@ -88,7 +98,7 @@ _FACT = pa.schema([("block", pa.int64()), ("g", pa.int64()), ("word", pa.binary(
 
 def _count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blocks: dict[int, _Counts] = {}
-    for b in bounded_batches(it):
+    for b in bounded_batches(it, SLICE):
         rows: dict[int, tuple[list, list]] = {}
         for k, t, h in zip(b.column("block").to_pylist(), texts_of(b.column("text")), b.column("held_out").to_pylist(), strict=True):
             texts, held = rows.setdefault(k, ([], []))
@@ -97,6 +107,7 @@ def _count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (texts, held) in rows.items():
             blocks.setdefault(k, _Counts()).add(texts, held)
     for k, c in blocks.items():
+        c.merge()
         n = len(c.grams)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), pa.array(c.grams.view(np.int64)), pa.nulls(n, pa.binary()), pa.array(c.counts)], schema=_FACT)
         n = len(c.words)
@@ -217,7 +228,7 @@ class _Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
-        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.shift = np.uint64(64 - max(4, (2 * len(keys)).bit_length()))
         self.place = np.zeros(1 << (64 - int(self.shift)), np.int32)
         self.place[self._at(self.keys)] = np.arange(len(keys))
 
@@ -237,18 +248,21 @@ def _score(total: int, distinct: int):
     def run(docs: pa.Table, facts: pa.Table) -> pa.Table:
         is_word = facts["word"].is_valid()
         known = facts.filter(is_word)
-        count = dict(zip(known["word"].to_pylist(), known["value"].to_pylist(), strict=True))
+        number = {w: k for k, w in enumerate(known["word"].to_pylist())}
+        count = known["value"].to_numpy()
+        log = np.log10(count + 1) - math.log10(total + distinct + 1)
         tree = facts.filter(facts["g"].is_valid())
         look = _Lookup(tree["g"].to_numpy().view(np.uint64), tree["value"].to_numpy())
-        down = math.log10(total + distinct + 1)
-        log = {w: math.log10(c + 1) - down for w, c in count.items()}
+        del known, tree
+        end = number[b"\n"]
         n_tokens, n_known, base, score = [], [], [], []
-        for b in bounded_batches(docs.to_batches()):
+        for b in bounded_batches(docs.to_batches(), SLICE):
             split = [words_of(t) for t in texts_of(b.column("text"))]
             for w in split:
-                n_tokens.append(len(w) + 1)
-                n_known.append(sum(count[x] > 0 for x in w) + (count[b"\n"] > 0))
-                base.append(math.fsum(log[x] for x in w) + log[b"\n"])
+                at = np.fromiter((*map(number.__getitem__, w), end), np.int64, len(w) + 1)
+                n_tokens.append(len(at))
+                n_known.append(int((count[at] > 0).sum()))
+                base.append(float(log[at].sum()))
             g, start = grams(split)
             score += np.add.reduceat(look(g), start).tolist()
         return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(base), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
