@@ -24,7 +24,7 @@ class Settings:
     grams: tuple[int, ...] = (3, 4)
     epochs: int = 4
     rate: float = 0.4
-    max_train: int = 6000
+    max_train: int = 3000
     seed: int = 1
 
 
