@@ -20,6 +20,7 @@ from treeline.llm.ordered import bounds, n_parts, with_part
 #: Words whose hashes a task remembers before it starts anew.
 REMEMBER = 1_000_000
 _BLOCK = 1 << 12
+_ZERO = np.zeros(1, np.int64)
 
 
 @dataclass(frozen=True)
@@ -125,19 +126,19 @@ class Fingerprints:
             mixed = terms[None, :] * salts[:, None]
             mixed ^= mixed >> np.uint64(32)
             mixed *= np.uint64(0xD6E8FEB86659FD93)
-            row = np.repeat(np.arange(len(salts)), len(terms))
+            row = np.repeat(np.arange(len(salts), dtype=np.int32), len(terms))
             mixed = mixed.ravel()
+            value = mixed * np.uint64(0x9E3779B97F4A7C15)
+            value ^= value >> np.uint64(29)
+            value *= np.uint64(0xBF58476D1CE4E5B9)
             for level in range(s.levels):
                 if level:
-                    in_it = mixed < np.uint64(1 << (64 - level))
-                    mixed, row = mixed[in_it], row[in_it]
+                    in_it = np.flatnonzero(mixed < np.uint64(1 << (64 - level)))
+                    mixed, row, value = mixed[in_it], row[in_it], value[in_it]
                 if not len(row):
                     break
                 # the terms are distinct and sorted, so a sum of well-mixed values is a hash of the list
-                value = mixed * np.uint64(0x9E3779B97F4A7C15)
-                value ^= value >> np.uint64(29)
-                value *= np.uint64(0xBF58476D1CE4E5B9)
-                first = np.flatnonzero(np.diff(row, prepend=-1))
+                first = np.concatenate([_ZERO, np.flatnonzero(row[1:] != row[:-1]) + 1])
                 total = np.add.reduceat(value, first)
                 out[lo + row[first], level] = np.maximum(((total * np.uint64(0x94D049BB133111EB)) >> np.uint64(48)).astype(np.uint16), 1)
         return out
@@ -155,7 +156,7 @@ class Fingerprints:
 
 def spell(signatures: np.ndarray) -> str:
     """A fingerprint as text."""
-    return base64.b85encode(signatures.astype("<u2").tobytes()).decode()
+    return base64.b64encode(signatures.astype("<u2").tobytes()).decode()
 
 
 def _edit(text: str, other: str) -> str:
