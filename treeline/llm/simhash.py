@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from treeline.llm._common import batches, drop_path, lookup, materialize, texts_of
 
@@ -202,6 +203,15 @@ def _fingerprints(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return batches(_FP, rows(), 20_000)
 
 
+def _rooted(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame, int]:
+    """doc_id and fp of every row; least_id, n_rows and root of every distinct fp; the number of rows."""
+    fps, _ = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    uniq, _ = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows")), "distinct-fingerprints")
+    total = fps.count()
+    comp = components(links(uniq.select("fp"), radius))
+    return fps, uniq.join(comp, uniq["fp"] == comp["node"], "left").select("fp", "least_id", "n_rows", F.coalesce("root", "fp").alias("root")), total
+
+
 def simhash_components(docs: DataFrame, radius: int = 4) -> DataFrame:
     """doc_id, fp (signed), component_id of every row of docs (doc_id, text).
 
@@ -209,22 +219,34 @@ def simhash_components(docs: DataFrame, radius: int = 4) -> DataFrame:
     doc_id keep it; their component's id is the smallest doc_id that is not NULL, or NULL without any. An empty table
     gives an empty one; other columns are not looked at.
     """
-    fps, _ = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    uniq, _ = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows")), "distinct-fingerprints")
-    total = fps.count()
-    comp = components(links(uniq.select("fp"), radius))
-    rooted = uniq.join(comp, uniq["fp"] == comp["node"], "left").select("fp", "least_id", "n_rows", F.coalesce("root", "fp").alias("root"))
+    fps, rooted, total = _rooted(docs, radius)
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named, _ = materialize(rooted.join(ids, "root").select("fp", "n_rows", "component_id"), "components")
     return lookup(fps, named, "fp", "n_rows", total, F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """docs without near copies: of each component, one row of its smallest doc_id stays (any one of equal ids).
+    """docs without near copies: of each component, whatever its ids, one row of its smallest doc_id stays.
+
+    NULL ids come last; of rows with equal ids and fingerprints any one stays.
+    """
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            fps = np.array([fingerprint(t) for t in texts_of(b.column("text"))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*b.schema.names, "__tl_key"])
+
+    _, rooted, _ = _rooted(docs, radius)
+    keyed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__tl_key", LongType())]))
+    return keep_one(keyed, rooted.withColumnRenamed("fp", "key"))
+
+
+def keep_one(keyed: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of each root of rooted (key, least_id, root; one row a key): that of its smallest least_id, NULL last.
 
-    A row with NULL doc_id stays only if its component has no other id, and then one for all such components.
+    keyed: rows with doc_id and their key in __tl_key, which the result is without.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # one exchange serves the join and the choice
-    comp = simhash_components(docs, radius)
-    keep = comp.select(F.coalesce("component_id", F.lit(-(1 << 63))).alias("__tl_keep")).distinct()
-    return docs.withColumn("__tl_keep", key).join(keep, "__tl_keep", "left_semi").dropDuplicates(["__tl_keep"]).drop("__tl_keep")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "key")).alias("w")).select(F.col("w.key").alias("__tl_key"), F.col("w.none").alias("__tl_none"), F.coalesce("w.least_id", F.lit(0)).alias("__tl_id"))
+    on = ["__tl_key", "__tl_none", "__tl_id"]  # one exchange serves the join and the choice
+    own = keyed.withColumn("__tl_none", F.col("doc_id").isNull()).withColumn("__tl_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    return own.join(first, on, "left_semi").dropDuplicates(on).drop(*on)
