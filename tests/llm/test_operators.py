@@ -399,7 +399,6 @@ def test_token_files(docs, rows, none, monkeypatch):
     monkeypatch.setattr(ordered, "PART_BYTES", 1 << 12)
     raw = Path(BYTES).read_bytes()
     tok = Tokenizer.from_file(BYTES)
-    tok.encode_special_tokens = True
     want, start = [], 0
     for i, t in in_order(rows):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -418,7 +417,6 @@ def test_packing_round_trip():
 
 def test_token_encoder_equals_library():
     tok, rng = Tokenizer.from_file(BYTES), random.Random(9)
-    tok.encode_special_tokens = True
     parts = ["a", "B", " ", "  ", "\n", "\t", "é", "×", "€", " ", "　", " ", "\x85", "'s", "don't", "12", "!?", "\r\n", "<|endoftext|>", "字", "😀", "ing,", " the.", " x***"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 5, 40, 200]))) for _ in range(1500)]
     assert [x.tolist() for x in tokenfiles.Encoder(Path(BYTES).read_bytes()).encode([t.encode() for t in texts])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]

@@ -144,7 +144,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer.decode())
-        self.tokenizer.encode_special_tokens = True
         told = json.loads(tokenizer)
         cut, added = told.get("pre_tokenizer") or {}, [t["content"] for t in told.get("added_tokens") or []]
         # only of a byte-level tokenizer is it known where it cuts
