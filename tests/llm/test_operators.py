@@ -406,6 +406,9 @@ def test_token_files(docs, rows, none, monkeypatch):
         start += len(ids)
     got = sorted(map(tuple, tokenfiles.write_and_read(docs, raw).select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1])
     assert got == want
+    monkeypatch.setattr(tokenfiles, "FILE_TOKENS", 300)
+    again = tokenfiles.write_and_read(docs, raw).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, again), key=lambda r: r[1]) == want
     assert tokenfiles.write_and_read(none, raw).count() == 0
 
 
@@ -419,7 +422,12 @@ def test_token_encoder_equals_library():
     tok, rng = Tokenizer.from_file(BYTES), random.Random(9)
     parts = ["a", "B", " ", "  ", "\n", "\t", "é", "×", "€", " ", "　", " ", "\x85", "'s", "don't", "12", "!?", "\r\n", "<|endoftext|>", "字", "😀", "ing,", " the.", " x***"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 5, 40, 200]))) for _ in range(1500)]
-    assert [x.tolist() for x in tokenfiles.Encoder(Path(BYTES).read_bytes()).encode([t.encode() for t in texts])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    own = tokenfiles.Encoder(Path(BYTES).read_bytes())
+    for part in (texts, ["a <|endoftext|> b", None, "", "x\ny z"], [], ["even text\nof two lines"] * 3):
+        ids, sizes = own.encode(pa.array(part, pa.string()))
+        want = [tok.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert 50256 in own.encode(pa.array(["a <|endoftext|> b"]))[0]
 
 
 # --- 10: personal data -------------------------------------------------------------------------------------------------
