@@ -79,10 +79,37 @@ def test_imatch(docs, rows, none, monkeypatch):
     assert imatch.neighbours(docs.where("doc_id = 5")).first()["near_next"] == 1.0
 
 
+def test_imatch_band_and_signatures_equal_brute_force(spark, monkeypatch):
+    """Exact document frequencies, both edges of the band, and every signature by its definition."""
+    monkeypatch.setattr(imatch, "WAITING", 50)
+    rng, s = random.Random(6), imatch.Settings(least_idf=0.7, most_idf=3.0, least_docs=2, subsets=3, levels=5)
+    texts = [" ".join(["Common"] + [f"mid{rng.randrange(12)}" for _ in range(6)] + [f"rare{k}"] + ["pair"] * (k in (3, 4))) for k in range(60)] + [None, ""]
+    lexicon = imatch.lexicon(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), s)
+    df = Counter(w for t in texts for w in set((t or "").lower().split()))
+    want = {w for w, n in df.items() if max(2, len(texts) * math.exp(-3.0)) <= n <= len(texts) * math.exp(-0.7)}
+    assert lexicon.tolist() == sorted(xxhash.xxh64_intdigest(w.encode()) | 1 for w in want)
+    assert "common" not in want and "rare7" not in want and "pair" not in want and len(want) > 5
+    f, u64 = imatch.Fingerprints(lexicon, s), (1 << 64) - 1
+    for t in [*texts[:20], "common rare1", ""]:
+        found = {w: xxhash.xxh64_intdigest(w.encode()) for w in set((t or "").lower().split())}
+        terms = sorted(h | 1 for w, h in found.items() if w in want) or sorted(h & ~1 for h in found.values())
+        for r, salt in enumerate(map(int, f.salts)):
+            for level in range(s.levels):
+                total = n = 0
+                for h in terms:
+                    m = h * salt & u64
+                    m = (m ^ (m >> 32)) * 0xD6E8FEB86659FD93 & u64
+                    if m >> (64 - level) == 0 or level == 0:
+                        v = m * 0x9E3779B97F4A7C15 & u64
+                        v = (v ^ (v >> 29)) * 0xBF58476D1CE4E5B9 & u64
+                        total, n = (total + v * pow(imatch._BASE, n, 1 << 64)) & u64, n + 1
+                assert f.of((t or "").encode())[r, level] == (max((total * 0x94D049BB133111EB & u64) >> 48, 1) if n else 0)
+
+
 def test_imatch_likeness_follows_overlap():
     s, rng = imatch.Settings(), random.Random(1)
-    f = imatch.Fingerprints(np.ones(s.slots, bool), s)
     vocabulary = [f"w{k}" for k in range(5000)]
+    f = imatch.Fingerprints(np.sort([xxhash.xxh64_intdigest(w.encode()) | 1 for w in vocabulary]).astype(np.uint64), s)
     error = []
     for share in (0.0, 0.2, 0.5, 0.8):
         for _ in range(12):
@@ -91,7 +118,8 @@ def test_imatch_likeness_follows_overlap():
             a, b = pool[: (400 + common) // 2], pool[(400 - common) // 2 :]
             got = f.likeness(f.of(" ".join(a).encode()), f.of(" ".join(b).encode()))
             error.append(got - len(set(a) & set(b)) / len(set(a) | set(b)))
-    assert abs(np.mean(error)) < 0.05 and np.std(error) < 0.15
+    # a subset's run of agreeing levels has a spread of about 2.6, so 32 of them leave 0.15 to 0.2 at these shares
+    assert abs(np.mean(error)) < 0.05 and np.std(error) < 0.2
 
 
 # --- 2: SentencePiece --------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
@@ -17,35 +18,45 @@ from pyspark.sql import functions as F
 from treeline.llm._common import bounded_batches, texts_of
 from treeline.llm.ordered import bounds, n_parts, with_part
 
-#: Words whose hashes a task remembers before it starts anew.
-REMEMBER = 1_000_000
-_BLOCK = 1 << 12
+#: Words whose hashes a task remembers before it starts anew, and terms whose counts it holds before it merges them.
+REMEMBER, WAITING = 1_000_000, 2_000_000
+#: Bits of a term's hash that number the bucket in which its counts meet.
+BUCKET_BITS = 10
 _ZERO = np.zeros(1, np.int64)
+_BASE = 0xD1342543DE82EF95
 
 
 @dataclass(frozen=True)
 class Settings:
-    """least_idf, most_idf: the band, natural logarithms of documents over documents with the term; slots: counters of
-    the lexicon, so many whatever the corpus; subsets: randomised lexicons; levels: each is halved so often, from the
+    """least_idf, most_idf: the band, natural logarithms of documents over documents with the term; least_docs: documents
+    that a term of the lexicon is in at least; subsets: randomised lexicons; levels: each is halved so often, from the
     whole lexicon on, so that some level of it holds a few terms of a document of any length.
 
-    A term's frequency is its slot's. Others in the slot add about (terms of a document) / slots to its share of
-    documents, whatever the number of documents; the band's upper end may be as rare as a document in a million.
+    The terms of a document number t on average, so at most t * e^most_idf terms are in the band, however many documents
+    there are: the lexicon's size has that bound.
     """
 
     least_idf: float = 1.0
-    most_idf: float = 14.0
-    slots: int = 1 << 20
+    most_idf: float = 9.0
+    least_docs: int = 2
     subsets: int = 32
     levels: int = 14
     seed: int = 9
 
 
 class Terms(dict):
-    """word -> its 64-bit hash, remembered."""
+    """word -> its 64-bit hash, remembered; the last bit tells whether the lexicon (sorted hashes with that bit) has it."""
+
+    def __init__(self, lexicon: np.ndarray | None = None):
+        super().__init__()
+        self.lexicon = memoryview(np.ascontiguousarray(lexicon if lexicon is not None else np.zeros(0, np.uint64)))
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word) | 1
+        k = bisect.bisect_left(self.lexicon, h)
+        if k == len(self.lexicon) or self.lexicon[k] != h:
+            h -= 1
+        self[word] = h
         return h
 
 
@@ -57,70 +68,92 @@ def terms_of(text: bytes, memory: Terms) -> np.ndarray:
     return np.sort(np.fromiter(map(memory.__getitem__, words), np.uint64, len(words)))
 
 
-def _slot(terms: np.ndarray, s: Settings) -> np.ndarray:
-    return (terms >> np.uint64(65 - s.slots.bit_length())).astype(np.int64)
+class _Counts:
+    """Documents with each term, as sorted arrays."""
+
+    def __init__(self):
+        self.terms, self.n, self.waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def add(self, terms: np.ndarray, n: np.ndarray) -> None:
+        self.waiting.append((terms, n))
+        if sum(len(t) for t, _ in self.waiting) > max(WAITING, len(self.terms)):
+            self.merge()
+
+    def merge(self) -> None:
+        if self.waiting:
+            every = np.concatenate([self.terms, *(t for t, _ in self.waiting)])
+            order = np.argsort(every, kind="stable")
+            every, n = every[order], np.concatenate([self.n, *(n for _, n in self.waiting)])[order]
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+            self.terms, self.n, self.waiting = every[first], np.add.reduceat(n, first) if len(first) else n, []
+
+
+_COUNTS = pa.schema([("bucket", pa.int32()), ("terms", pa.binary()), ("n", pa.binary())])
 
 
 def lexicon(docs: DataFrame, s: Settings = Settings()) -> np.ndarray:
-    """band[slot]: whether the slot's document frequency over all docs is within the band. Of fixed size.
+    """The sorted hashes of all terms whose exact document frequency over all docs is within the band.
 
-    Tasks count by slot and send blocks of counters; the sums are compared with the number of documents.
+    Tasks count their own documents; buckets of counts meet by hash and are added up. Only the lexicon, whose size is
+    bounded (see Settings), reaches the driver.
     """
 
     def count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, memory = np.zeros(s.slots, np.int64), Terms()
+        found, memory = _Counts(), Terms()
         for b in bounded_batches(it):
-            for t in texts_of(b.column("text")):
-                counts[np.unique(_slot(terms_of(t, memory), s))] += 1
-        used = np.flatnonzero(counts.reshape(-1, _BLOCK).any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([x.astype("<i4").tobytes() for x in counts.reshape(-1, _BLOCK)[used]], pa.binary())], names=["block", "counts"])
+            terms = np.concatenate([np.zeros(0, np.uint64), *(terms_of(t, memory) for t in texts_of(b.column("text")))])
+            found.add(terms, np.ones(len(terms), np.int64))
+        found.merge()
+        cut = np.searchsorted(found.terms >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1).astype(np.uint64))
+        used = np.flatnonzero(np.diff(cut))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([found.terms[cut[k] : cut[k + 1]].tobytes() for k in used], pa.binary()), pa.array([found.n[cut[k] : cut[k + 1]].astype("<u4").tobytes() for k in used], pa.binary())], schema=_COUNTS)
 
     n = docs.count()
+    least, most = max(s.least_docs, math.exp(-s.most_idf) * n), math.exp(-s.least_idf) * n
 
     def add(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, total = None, np.zeros(_BLOCK, np.int64)
+        bucket, total = None, _Counts()
 
         def out() -> pa.RecordBatch:
-            idf = np.log(n / np.maximum(total, 1))
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits((total > 0) & (idf >= s.least_idf) & (idf <= s.most_idf)).tobytes()], pa.binary())], names=["block", "band"])
+            total.merge()
+            return pa.RecordBatch.from_arrays([pa.array([total.terms[(total.n >= least) & (total.n <= most)].tobytes()], pa.binary())], names=["terms"])
 
         for b in it:
-            for k, x in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                if k != block:
-                    if block is not None:
+            for k, terms, seen in zip(b.column("bucket").to_pylist(), b.column("terms").to_pylist(), b.column("n").to_pylist(), strict=True):
+                if k != bucket:
+                    if bucket is not None:
                         yield out()
-                    block, total = k, np.zeros(_BLOCK, np.int64)
-                total += np.frombuffer(x, "<i4")
-        if block is not None:
+                    bucket, total = k, _Counts()
+                total.add(np.frombuffer(terms, np.uint64), np.frombuffer(seen, "<u4").astype(np.int64))
+        if bucket is not None:
             yield out()
 
-    band = np.zeros(s.slots, bool)
-    summed = docs.select("text").mapInArrow(count, "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, band binary")
-    for k, bits in summed.collect():  # slots / 8 bytes in all
-        band[k * _BLOCK : (k + 1) * _BLOCK] = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-    return band
+    summed = docs.select("text").mapInArrow(count, "bucket int, terms binary, n binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "terms binary")
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[0], np.uint64) for r in summed.collect())])) | np.uint64(1)
 
 
 class Fingerprints:
     """Fingerprints of texts by a lexicon: subsets x levels signatures of 16 bits each, 0 where no term falls in.
 
     In subset r, a term belongs to levels 0 to z, z being the leading zero bits of a hash of it and r; the signature of
-    a level is the hash of the sorted distinct terms that belong to it. Two texts agree on a level if the same terms
-    fall in it; over all levels, agreements tell their likeness whatever their lengths.
+    a level is a polynomial hash over the sorted distinct terms that belong to it. Two texts agree on a level if the same
+    terms fall in it; over all levels, agreements tell their likeness whatever their lengths.
     """
 
-    def __init__(self, band: np.ndarray, s: Settings):
-        self.band, self.s, self.memory = band, s, Terms()
+    def __init__(self, lexicon: np.ndarray, s: Settings):
+        self.s, self.memory, self.powers = s, Terms(lexicon), np.ones(1, np.uint64)
         self.salts = np.random.default_rng(s.seed).integers(1, 1 << 63, s.subsets, np.int64).astype(np.uint64) | np.uint64(1)
 
     def of(self, text: bytes) -> np.ndarray:
         s = self.s
         out = np.zeros((s.subsets, s.levels), np.uint16)
         terms = terms_of(text, self.memory)
-        kept = terms[self.band[_slot(terms, s)]]
-        terms = kept if len(kept) else terms  # a text of nothing but common or unknown terms: all of them
+        kept = terms[(terms & np.uint64(1)) == 1]
+        terms = kept if len(kept) else terms  # a text of nothing but common or rare terms: all of them
         if not len(terms):
             return out
+        while len(self.powers) < len(terms):
+            self.powers = np.concatenate([self.powers, self.powers * np.uint64(pow(_BASE, len(self.powers), 1 << 64))])
         for lo in range(0, s.subsets, step := max(1, 2_000_000 // len(terms))):
             salts = self.salts[lo : lo + step]
             mixed = terms[None, :] * salts[:, None]
@@ -137,9 +170,9 @@ class Fingerprints:
                     mixed, row, value = mixed[in_it], row[in_it], value[in_it]
                 if not len(row):
                     break
-                # the terms are distinct and sorted, so a sum of well-mixed values is a hash of the list
                 first = np.concatenate([_ZERO, np.flatnonzero(row[1:] != row[:-1]) + 1])
-                total = np.add.reduceat(value, first)
+                place = np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row)))
+                total = np.add.reduceat(value * self.powers[place], first)
                 out[lo + row[first], level] = np.maximum(((total * np.uint64(0x94D049BB133111EB)) >> np.uint64(48)).astype(np.uint16), 1)
         return out
 
@@ -176,7 +209,7 @@ def neighbours(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     same. A single row is its own next. Other columns are not looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(lexicon(docs, s)).tobytes())
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon(docs, s).tobytes())
     cuts = bounds(docs, n_parts(docs))
     placed = with_part(docs, cuts)
     # the least id of each part: a row a part reaches the driver; its rows are also sent to the part before, as ghosts
@@ -189,10 +222,10 @@ def neighbours(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     whose = docs.sparkSession.createDataFrame(ghosts, "_part int, _least long, _to int, _wrap int")
     also = placed.join(F.broadcast(whose), (F.col("part") == F.col("_part")) & F.col("doc_id").eqNullSafe(F.col("_least"))).select("doc_id", "text", F.col("_to").alias("part"), F.lit(True).alias("ghost"))
     every = placed.select("doc_id", "text", "part", F.lit(False).alias("ghost")).union(also)
-    dealt = every.repartitionByRange(len(parts), "part").sortWithinPartitions("part", "ghost", "doc_id", "text")
+    dealt = every.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "ghost", "doc_id", "text")
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Fingerprints(np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool), s)
+        own = Fingerprints(np.frombuffer(sent.value, np.uint64), s)
         before = None  # part, doc_id, text, signatures
 
         for b in bounded_batches(it):
