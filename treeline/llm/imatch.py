@@ -20,6 +20,8 @@ from treeline.llm.ordered import bounds, n_parts, with_part
 
 #: Words whose hashes a task remembers before it starts anew, and terms whose counts it holds before it merges them.
 REMEMBER, WAITING = 1_000_000, 2_000_000
+#: Terms whose signatures are worked out together, at least a text's.
+TOGETHER = 6000
 #: Bits of a term's hash that number the bucket in which its counts meet.
 BUCKET_BITS = 10
 _ZERO = np.zeros(1, np.int64)
@@ -145,35 +147,57 @@ class Fingerprints:
         self.salts = np.random.default_rng(s.seed).integers(1, 1 << 63, s.subsets, np.int64).astype(np.uint64) | np.uint64(1)
 
     def of(self, text: bytes) -> np.ndarray:
-        s = self.s
-        out = np.zeros((s.subsets, s.levels), np.uint16)
-        terms = terms_of(text, self.memory)
-        kept = terms[(terms & np.uint64(1)) == 1]
-        terms = kept if len(kept) else terms  # a text of nothing but common or rare terms: all of them
-        if not len(terms):
-            return out
-        while len(self.powers) < len(terms):
+        """The signatures of one text."""
+        return self.of_all([text])[0]
+
+    def of_all(self, texts: list[bytes]) -> np.ndarray:
+        """The signatures of texts, [text, subset, level]; so many are worked out together as have TOGETHER terms."""
+        out = np.zeros((len(texts), self.s.subsets, self.s.levels), np.uint16)
+        held, at, n = [], [], 0
+        for k, text in enumerate(texts):
+            terms = terms_of(text, self.memory)
+            kept = terms[(terms & np.uint64(1)) == 1]
+            terms = kept if len(kept) else terms  # a text of nothing but common or rare terms: all of them
+            if not len(terms):
+                continue
+            if held and n + len(terms) > TOGETHER:
+                out[at] = self._sign(held)
+                held, at, n = [], [], 0
+            held.append(terms)
+            at.append(k)
+            n += len(terms)
+        if held:
+            out[at] = self._sign(held)
+        return out
+
+    def _sign(self, lists: list[np.ndarray]) -> np.ndarray:
+        s, sizes, terms = self.s, np.array([len(x) for x in lists]), np.concatenate(lists)
+        out = np.zeros((len(lists), s.subsets, s.levels), np.uint16)
+        while len(self.powers) < sizes.max():
             self.powers = np.concatenate([self.powers, self.powers * np.uint64(pow(_BASE, len(self.powers), 1 << 64))])
-        for lo in range(0, s.subsets, step := max(1, 2_000_000 // len(terms))):
+        starts = np.cumsum(sizes) - sizes
+        whole = self.powers[np.arange(len(terms)) - np.repeat(starts, sizes)]
+        owner = np.repeat(np.arange(len(lists), dtype=np.int64) * s.subsets, sizes)
+        for lo in range(0, s.subsets, step := max(1, 32 * TOGETHER // len(terms))):
             salts = self.salts[lo : lo + step]
             mixed = terms[None, :] * salts[:, None]
             mixed ^= mixed >> np.uint64(32)
             mixed *= np.uint64(0xD6E8FEB86659FD93)
-            row = np.repeat(np.arange(len(salts), dtype=np.int32), len(terms))
-            mixed = mixed.ravel()
             value = mixed * np.uint64(0x9E3779B97F4A7C15)
             value ^= value >> np.uint64(29)
             value *= np.uint64(0xBF58476D1CE4E5B9)
-            for level in range(s.levels):
-                if level:
-                    in_it = np.flatnonzero(mixed < np.uint64(1 << (64 - level)))
-                    mixed, row, value = mixed[in_it], row[in_it], value[in_it]
-                if not len(row):
+            out[:, lo : lo + len(salts), 0] = _short(np.add.reduceat(value * whole, starts, axis=1)).T
+            flat, cell = out.reshape(-1, s.levels), None
+            mixed, value = mixed.ravel(), value.ravel()
+            for level in range(1, s.levels):
+                in_it = np.flatnonzero(mixed < np.uint64(1 << (64 - level)))
+                if not len(in_it):
                     break
-                first = np.concatenate([_ZERO, np.flatnonzero(row[1:] != row[:-1]) + 1])
-                place = np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row)))
-                total = np.add.reduceat(value * self.powers[place], first)
-                out[lo + row[first], level] = np.maximum(((total * np.uint64(0x94D049BB133111EB)) >> np.uint64(48)).astype(np.uint16), 1)
+                mixed, value = mixed[in_it], value[in_it]
+                cell = owner[in_it % len(terms)] + (lo + in_it // len(terms)) if cell is None else cell[in_it]
+                first = np.concatenate([_ZERO, np.flatnonzero(cell[1:] != cell[:-1]) + 1])
+                place = np.arange(len(cell)) - np.repeat(first, np.diff(first, append=len(cell)))
+                flat[cell[first], level] = _short(np.add.reduceat(value * self.powers[place], first))
         return out
 
     def likeness(self, a: np.ndarray, b: np.ndarray) -> float:
@@ -187,6 +211,10 @@ class Fingerprints:
         return 1.0 - math.exp(-agree * math.log(2) / self.s.subsets)
 
 
+def _short(total: np.ndarray) -> np.ndarray:
+    return np.maximum(((total * np.uint64(0x94D049BB133111EB)) >> np.uint64(48)).astype(np.uint16), 1)
+
+
 def spell(signatures: np.ndarray) -> str:
     """A fingerprint as text."""
     return base64.b64encode(signatures.astype("<u2").tobytes()).decode()
@@ -226,23 +254,25 @@ def neighbours(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Fingerprints(np.frombuffer(sent.value, np.uint64), s)
-        before = None  # part, doc_id, text, signatures
+        before, signed_before = None, None  # the last row that counts, its signatures
 
         for b in bounded_batches(it):
-            rows = []
+            found = []  # part, ghost, doc_id, text of the rows that count
             for part, ghost, i, text in zip(*(b.column(c).to_pylist() for c in ("part", "ghost", "doc_id", "text")), strict=True):
-                if before is None and ghost:
-                    continue  # the part's next is known already
-                text = text or ""
-                signatures = own.of(text.encode())
-                if before is not None and before[0] == part:
-                    _, i0, t0, s0 = before
-                    edited = _edit(t0, text)
-                    s1 = own.of(edited.encode())
-                    rows.append((i0, len(t0), hashlib.sha256(edited.encode()).hexdigest(), spell(s0), spell(s1), own.likeness(s0, s1), own.likeness(s0, signatures)))
-                elif ghost:
-                    continue
-                before = None if ghost else (part, i, text, signatures)
+                last = found[-1] if found else before
+                if ghost and (last is None or last[0] != part or last[1]):
+                    continue  # nothing of the part is before it, or the part's next is known already
+                found.append((part, ghost, i, text or ""))
+            signed = own.of_all([x[3].encode() for x in found])
+            pairs = [x for x in zip([before, *found], found) if x[0] is not None and not x[0][1] and x[0][0] == x[1][0]]
+            edited = [_edit(x[3], y[3]).encode() for x, y in pairs]
+            of = dict(zip(map(id, [before, *found]), [signed_before, *signed], strict=True))
+            rows = []
+            for (x, y), text, s1 in zip(pairs, edited, own.of_all(edited), strict=True):
+                s0, following = of[id(x)], of[id(y)]
+                rows.append((x[2], len(x[3]), hashlib.sha256(text).hexdigest(), spell(s0), spell(s1), own.likeness(s0, s1), own.likeness(s0, following)))
+            if found:
+                before, signed_before = found[-1], signed[-1]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
 
