@@ -35,9 +35,9 @@ MAGIC = b"TLVB1\n"
 #: Tokens after which a file is closed; one document may exceed it.
 FILE_TOKENS = 4 << 20
 #: Stretches that a worker remembers before it starts anew.
-REMEMBER = 1_000_000
+REMEMBER = 600_000
 #: Bytes of text that are encoded together, about; parts of the output at most, each of which may have any number of files.
-BATCH_BYTES, MAX_PARTS = 8 << 20, 20_000
+BATCH_BYTES, MAX_PARTS = 4 << 20, 20_000
 #: lengths[c]: of the four tokens of control byte c.
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
