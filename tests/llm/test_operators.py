@@ -12,6 +12,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import pytest
@@ -262,7 +263,7 @@ def test_ann_recall_ties_and_odd_vectors(spark):
     x[100:130] = x[100]
     rows = [(k, [float(np.float32(y)) for y in v]) for k, v in enumerate(x)] + [(2000, None), (2050, [0.0] * 16), (2100, [float("nan")] * 16), (2150, [None] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    found = ann.search(df, df.where("vec_id % 50 = 0"), 5, ann.Settings(parts=8, probes=6, group=100)).collect()
+    found = ann.search(df, df.where("vec_id % 50 = 0"), 5, ann.Settings(group=100, block=7)).collect()
     v = np.array([r[1] for r in rows[:900]], np.float64)
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     hits = 0
@@ -279,6 +280,26 @@ def test_ann_recall_ties_and_odd_vectors(spark):
     assert [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == 100), key=lambda r: r["rank"])] == [101, 102, 103, 104, 105]
     assert ann.search(df.where("vec_id > 1999"), df, 5).count() == 0
     assert ann.search(df.where("vec_id < 3"), df.where("vec_id = 0"), 5).count() == 2
+    odd = [(0, [1e200, 1e200]), (50, [1e200, 0.9e200]), (51, [1e-300, 0.0]), (52, [1.0]), (53, [1.0, 2.0, 3.0]), (54, [0.0, 5e-324])]
+    odd = spark.createDataFrame(odd, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.search(odd, odd.where("vec_id % 50 = 0"), 5).collect()}
+    assert set(got) == {(0, 50), (0, 51), (0, 54), (50, 0), (50, 51), (50, 54)} and got[0, 51] == pytest.approx(0.5**0.5) and got[0, 50] == pytest.approx(1.9 / 2**0.5 / 1.81**0.5)
+
+
+def test_ann_recall_of_the_registered_settings(spark):
+    """Recall over whole tables: random directions, which no cut helps, and clusters, where few parts are looked through."""
+    rng = np.random.default_rng(3)
+    clusters = rng.normal(size=(40, 32))[rng.integers(0, 40, 12_000)] * 3 + rng.normal(size=(12_000, 32))
+    for x, most in ((rng.normal(size=(12_000, 64)), 12), (clusters, 4)):
+        df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+        index = ann.fit(ann.usable(df), len(x))
+        assert index.router.w.shape[1] == 12 and index.probes <= most
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = unit[::50] @ unit.T
+        near[np.arange(len(near)), np.arange(0, len(x), 50)] = -9
+        want = {(50 * q, int(v)) for q, row in enumerate(np.argsort(-near, axis=1)[:, :5]) for v in row}
+        got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, df.where("vec_id % 50 = 0")).collect()}
+        assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
 
 
 # --- 6: mixing ---------------------------------------------------------------------------------------------------------

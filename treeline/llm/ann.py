@@ -8,32 +8,40 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Settings:
-    """parts: of the graph; sample: vectors that the fit takes at most, smallest hash of the id first; neighbours: of the
-    graph; probes: parts that a query looks through; group: vectors that one task compares at most, about."""
+    """parts: of the graph at most, one for 1000 vectors; sample: vectors that the fit takes at most, smallest hash of the
+    id first; neighbours: of the graph; recall: of the nearest of a held-out tenth of the sample, which the number of parts
+    that a query looks through is fitted to; group, block: vectors and queries that one task compares at most, about."""
 
-    parts: int = 32
+    parts: int = 64
     sample: int = 6000
     neighbours: int = 10
     rounds: int = 30
     epochs: int = 40
     rate: float = 0.5
-    probes: int = 23
+    recall: float = 0.95
     group: int = 20_000
+    block: int = 4000
     seed: int = 5
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components near 1: exact, and no square leaves a double's range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -111,31 +119,57 @@ class Router:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>) of the vectors that take part: not NULL, not all zero, every component a finite number."""
+    """vec_id, v (array<double>) of the vectors that can take part: not NULL, not all zero, every component a finite number."""
     v = F.col("embedding").cast("array<double>")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     return found.where(~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
 
 
-def fit(vectors: DataFrame, s: Settings = Settings()) -> Router | None:
-    """A router from a sample of usable vectors (vec_id, v) that is bounded by s.sample; None without any vector."""
+@dataclass
+class Index:
+    """The router, and how many parts a query looks through."""
+
+    router: Router
+    probes: int
+
+
+def fit(vectors: DataFrame, n: int, k: int = 5, s: Settings = Settings()) -> Index:
+    """From a sample of n usable vectors (vec_id, v; one at least, of one length) that is bounded by s.sample.
+
+    Nine tenths make the graph, its parts and the router. The others are queries over these: the fewest parts that hold
+    s.recall of their k nearest are looked through. In a sample the nearest are farther than among all, so more is found.
+    """
     rows = vectors.orderBy(F.xxhash64("vec_id", F.lit(s.seed)), "vec_id").limit(s.sample).toArrow()
-    if not rows.num_rows:
-        return None
     x = _unit(np.array(rows["v"].to_pylist()))
+    asks, x = (x[::10], x[np.arange(len(x)) % 10 > 0]) if len(x) >= 100 else (x, x)
+    own = replace(s, parts=max(1, min(s.parts, n // 1000, len(x) // 50)))
     graph = neighbour_graph(x, s.neighbours)
-    return Router(x, graph, cut_graph(graph, x, s), s)
+    router = Router(x, graph, cut_graph(graph, x, own), own)
+    near = np.argsort(-(asks @ x.T), axis=1, kind="stable")[:, :k]
+    order = router.parts(asks, own.parts)
+    place = np.argsort(order, axis=1)  # of each part in a query's order
+    found = np.take_along_axis(place, router.parts(x, 1)[:, 0][near], axis=1).ravel()
+    share = np.cumsum(np.bincount(found, minlength=order.shape[1])) / len(found)
+    return Index(router, int(np.argmax(share >= min(s.recall, share[-1]))) + 1)
+
 
+def _route(index, sizes: np.ndarray | None = None, least: int = 0):
+    """Adds parts: the likeliest one, or with the parts' sizes those to look through, until they hold `least` vectors."""
 
-def _route(router, probes: int, name: str):
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Router = pickle.loads(router.value)
+        own: Index = pickle.loads(index.value)
         for b in it:
-            if b.num_rows:
-                x = _unit(np.array(b.column("v").to_pylist()))
-                parts = own.parts(x, probes)
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(parts.tolist(), pa.list_(pa.int32()))], names=["vec_id", "v", name])
+            if not b.num_rows:
+                continue
+            x = _unit(np.array(b.column("v").to_pylist()))
+            if sizes is None:
+                parts = own.router.parts(x, 1).tolist()
+            else:
+                order = own.router.parts(x, len(sizes))
+                short = (np.cumsum(sizes[order], axis=1) < least).sum(axis=1)
+                parts = [o[:n] for o, n in zip(order.tolist(), np.maximum(own.probes, short + 1).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(parts, pa.list_(pa.int32()))], names=["vec_id", "v", "parts"])
 
     return run
 
@@ -146,8 +180,8 @@ def _nearest(k: int):
         if not len(left) or not len(right):
             return none
         right = right.sort_values("vec_id", kind="stable")
-        c, ids = np.stack(right["v"].to_numpy()), right["vec_id"].to_numpy()
-        q, own = np.stack(left["v"].to_numpy()), left["vec_id"].to_numpy()
+        c, ids = _scaled(np.stack(right["v"].to_numpy())), right["vec_id"].to_numpy()
+        q, own = _scaled(np.stack(left["v"].to_numpy())), left["vec_id"].to_numpy()
         cn, qn = np.sqrt((c * c).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
         out = []
         for lo in range(0, len(q), 64):
@@ -170,21 +204,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, s: Settings = Set
     """query_id, rank, vec_id, score: for each row of queries the k nearest found among vectors but its own vec_id.
 
     Both have vec_id, embedding. Nearness is the cosine in double precision, ties go to the smaller vec_id. Vectors that
-    usable() leaves out take no part. Repeated ids are candidates each. Every vector is indexed; those of a large part
-    are dealt into groups of about s.group, each searched by all the part's queries, so no task grows with a part.
+    usable() leaves out, and those of another length than most of vectors (of equally many, the longest), take no part,
+    nor does a query of another length. Repeated ids are candidates each; of queries with one id the
+    least is answered. Every vector
+    is indexed. A part's vectors and the queries that look through it are dealt into groups and blocks of bounded size,
+    and every group meets every block in a task of its own, so no task grows with a part.
     """
     spark = vectors.sparkSession
-    every = usable(vectors)
-    router = fit(every, s)
-    if router is None:
+    every, asked = usable(vectors), usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    length = every.groupBy(F.size("v").alias("l")).count().orderBy(F.desc("count"), F.desc("l")).first()
+    if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sent = spark.sparkContext.broadcast(pickle.dumps(router))
-    indexed = every.mapInArrow(_route(sent, 1, "parts"), "vec_id long, v array<double>, parts array<int>").select("vec_id", "v", F.element_at("parts", 1).alias("part"))
-    sizes = indexed.groupBy("part").count().select(F.col("part").alias("_part"), F.ceil(F.col("count") / s.group).cast("int").alias("_groups"))  # as many rows as parts
-    dealt = indexed.join(F.broadcast(sizes), F.col("part") == F.col("_part")).select("vec_id", "v", "part", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("_groups")).cast("int").alias("group"))
-    routed = usable(queries).mapInArrow(_route(sent, s.probes, "parts"), "vec_id long, v array<double>, parts array<int>").select("vec_id", "v", F.explode("parts").alias("part"))
-    asked = routed.join(F.broadcast(sizes), F.col("part") == F.col("_part")).select("vec_id", "v", "part", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("group"))
-    found = asked.groupBy("part", "group").cogroup(dealt.groupBy("part", "group")).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))), 1, k).alias("b"))
-    flat = best.select("query_id", F.posexplode("b").alias("rank", "b"))
-    return flat.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.i").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    every, asked = every.where(F.size("v") == length["l"]), asked.where(F.size("v") == length["l"])
+    index = fit(every, length["count"], k, s)
+    sent, routed = spark.sparkContext.broadcast(pickle.dumps(index)), "vec_id long, v array<double>, parts array<int>"
+    indexed = every.mapInArrow(_route(sent), routed).select("vec_id", "v", F.element_at("parts", 1).alias("part"))
+    held = dict(indexed.groupBy("part").count().collect())  # as many rows as parts
+    n = np.array([held.get(p, 0) for p in range(index.router.w.shape[1])])
+    asked = asked.mapInArrow(_route(sent, n, k + 1), routed).select("vec_id", "v", F.explode("parts").alias("part"))
+    groups = spark.createDataFrame([(p, -(-c // s.group)) for p, c in enumerate(n.tolist()) if c], "part int, _groups int")
+    blocks = asked.groupBy("part").agg(F.ceil(F.count("*") / s.block).cast("int").alias("_blocks"))
+    sizes = F.broadcast(groups.join(blocks, "part"))
+    deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(sizes, "part").select("vec_id", "v", "part", deal("_blocks", 4).alias("block"), each("_groups").alias("group"))
+    right = indexed.join(sizes, "part").select("vec_id", "v", "part", deal("_groups", 3).alias("group"), each("_blocks").alias("block"))
+    keys = ["part", "group", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
