@@ -1,5 +1,7 @@
 """Building blocks with 0 and NULL keys, repeated rows, weights of 0 and 1, empty sides; files, functions, command line."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,20 +44,40 @@ def test_scans(spark):
     t = spark.createDataFrame([(1, 1, 2, None), (1, 2, 3, 7), (1, 3, 4, None), (2, 1, 5, None)], "g long, o long, v long, h long")
     cols = [
         prim.seg_prefix("v", "g", ["o"], False).alias("pe"), prim.seg_prefix("v", "g", ["o"]).alias("pi"), prim.seg_suffix("v", "g", ["o"]).alias("si"), prim.seg_suffix("v", "g", ["o"], False).alias("se"),
-        prim.seg_total("v", "g").alias("t"), prim.seg_suffix_product("v", "g", ["o"]).alias("x"), prim.fill_forward("h", "g", ["o"]).alias("f"),
+        prim.seg_total("v", "g").alias("t"), F.col("x"), prim.fill_forward("h", "g", ["o"]).alias("f"),
     ]
-    got = [tuple(int(y) if y is not None else None for y in x) for x in t.select("g", "o", *cols).orderBy("g", "o").collect()]
+    got = [tuple(int(y) if y is not None else None for y in x) for x in prim.with_suffix_product(t, "v", "g", ["o"], "x").select("g", "o", *cols).orderBy("g", "o").collect()]
     assert got == [(1, 1, 0, 2, 9, 7, 9, 24, None), (1, 2, 2, 5, 7, 4, 9, 12, 7), (1, 3, 5, 9, 4, 0, 9, 4, 7), (2, 1, 0, 5, 5, 0, 5, 5, None)]
     total = access.running_total(t, "v", ["g", "o"], "before").orderBy("g", "o").collect()
     assert [int(x["before"]) for x in total] == [0, 2, 5, 9]
 
 
+def test_suffix_products_are_exact(spark):
+    values = [3, -1, 0, 5, -2, 1, -1, 7, *[1] * 40, *[2] * 100]
+    t = spark.createDataFrame(list(enumerate(values)), "o long, v long").withColumn("g", F.lit(1))
+    got = [int(x["x"]) for x in prim.with_suffix_product(t, "v", "g", ["o"], "x").orderBy("o").collect()]
+    assert got == [math.prod(values[k:]) for k in range(len(values))]
+    with pytest.raises(Exception, match="OVERFLOW|cannot be represented"):
+        prim.with_suffix_product(spark.range(200).selectExpr("id", "2L AS v", "1 AS g"), "v", "g", ["id"], "x").collect()
+
+
 def test_frequencies(r):
     assert prim.max_frequency(r, ["k"]).first()[0] == 2 and prim.max_frequency(r, []).first()[0] == 5 and prim.max_frequency(r.limit(0), ["k"]).first()[0] == 0
     assert dict(map(tuple, prim.subset_frequencies(r, ["k", "id"]).collect())) == {0: 5, 1: 2, 2: 2, 3: 2}
     assert sorted(map(tuple, prim.group_dimensions(r, r, "k", "k").where("tid = 1").collect()), key=str)[0][2:] == (2, 2)
 
 
+def test_white_space_and_arity(spark, tmp_path):
+    (tmp_path / "a.tbl").write_text("1  2\t3\n\n  4 5   6 \n\t\n-7 8 9\n")
+    t = text.read_ints(spark, str(tmp_path / "a.tbl"), ["a", "b", "c"])
+    assert sorted(map(tuple, t.collect())) == [(-7, 8, 9), (1, 2, 3), (4, 5, 6)]
+    (tmp_path / "b.tbl").write_text("1 2 3\n4 5\n6 7 8 9\n")
+    wrong = text.read_ints(spark, str(tmp_path / "b.tbl"), ["a", "b", "c"], check=False)
+    for use in (lambda: wrong.count(), lambda: wrong.select("a").collect(), lambda: wrong.collect()):
+        with pytest.raises(Exception, match="is not 3 integers"):
+            use()
+
+
 def test_files(spark, tmp_path, r):
     text.write_ints(r.select("id", "w"), str(tmp_path / "a.tbl"))
     back = text.read_ints(spark, str(tmp_path / "a.tbl"), ["id", "w"])

@@ -96,6 +96,25 @@ def test_direct_access(sample):
     assert access.answers(sample, 30, 40).count() == 0
 
 
+def test_direct_access_narrows_and_a_hot_key_is_spread(spark, monkeypatch):
+    """Two thirds of the rows share a key on either side; every slice of the answers is that of the whole order."""
+    monkeypatch.setattr(access, "NARROW", 40)
+    monkeypatch.setattr(access, "HOT", 3)
+    a = spark.createDataFrame([(k, 0 if k % 3 else k) for k in range(400)], "i long, x long")
+    b = spark.createDataFrame([(0 if k % 3 else k, k) for k in range(60)], "x long, y long")
+    c = spark.createDataFrame([(k % 20, k) for k in range(50)], "y long, z long")
+    tree = JoinTree([a, b, c], [Edge(0, 1, ("x",), ("x",)), Edge(1, 2, ("y",), ("y",))])
+    want = Counter(map(tuple, joins.join(tree, "native").collect()))
+    n = sum(want.values())
+    assert n > 9000 and Counter(map(tuple, joins.join(tree, "count_expand").collect())) == want
+    every = {r[0]: tuple(r)[1:] for r in access.answers(tree, 0, n).collect()}
+    assert len(every) == n and Counter(every.values()) == want
+    for lo, hi in ((0, 1), (n // 2, n // 2 + 300), (n - 5, n + 9)):
+        assert {r[0]: tuple(r)[1:] for r in access.answers(tree, lo, hi).collect()} == {k: every[k] for k in range(lo, min(hi, n))}
+    monkeypatch.setattr(access, "FEW", 10)
+    assert {r[0]: tuple(r)[1:] for r in access.answers(tree, 100, 200).collect()} == {k: every[k] for k in range(100, 200)}
+
+
 def test_privacy_constants():
     assert privacy.smoothing(1, 1e-9) == pytest.approx(0.022814, abs=1e-6)
     assert privacy.noise_factor(1, 1e-9) == pytest.approx(332.2661, abs=1e-4)

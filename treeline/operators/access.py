@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.operators import counting
-from treeline.operators.counting import COUNT, DELTA, child_weight
+from treeline.operators.counting import COUNT, DELTA, average, child_block, child_weight
 from treeline.plans.tree import JoinTree, label
 
 #: Pieces that running_total() cuts its rows into, and copies of one row that one array holds at most.
 PIECES, COPIES = 64, 100_000
+#: Rows of the root that direct access narrows its search down to, and answers whose rows it fetches at most.
+NARROW, FEW = 200_000, 100_000
+#: Rows of a child that a copy may look through for its own.
+HOT = 64
 
 
 def running_total(df: DataFrame, value: str, order: Sequence[str], name: str) -> DataFrame:
@@ -46,24 +50,95 @@ def repeat(df: DataFrame, times: Column, name: str) -> DataFrame:
     return blocks.withColumn(name, F.explode(F.sequence(F.col("_from"), F.greatest(F.least(F.col("_from") + COPIES, F.col("_n")) - 1, F.col("_from"))))).drop("_n", "_from")
 
 
+def _around(root: DataFrame, rows: DataFrame, cols: Sequence[str], first: int, last: int) -> tuple[DataFrame, int, int]:
+    """(rows of root that hold all answers from first to last - 1, and perhaps some others beside; answers before them;
+    how many rows at least).
+
+    root has DELTA; rows are those that it was made of. They are cut at sampled rows, and what holds no wanted answer is
+    left out by comparisons with those, until at most NARROW are left or a cut no longer halves them: no sort of them all.
+    """
+    types, ahead, here = [root.schema[c].dataType for c in cols], 0, F.struct(*cols)
+    while True:
+        sample = rows.select(*cols).orderBy(F.xxhash64(*cols), *cols).limit(PIECES - 1).distinct().orderBy(*cols).collect()
+        cuts = [F.struct(*(F.lit(x).cast(t).alias(c) for x, t, c in zip(row, types, cols, strict=True))) for row in sample]
+        piece = F.lit(0)
+        for cut in cuts:
+            piece = piece + (here >= cut).cast("int")
+        sums = {r[0]: (int(r[1]), r[2]) for r in root.groupBy(piece.alias("p")).agg(F.sum(DELTA), F.count("*")).collect()}  # at most PIECES rows
+        wanted, before, total = [], ahead, ahead
+        for p in sorted(sums):
+            if total < last and total + sums[p][0] > first:
+                before = before if wanted else total
+                wanted.append(p)
+            total += sums[p][0]
+        if not wanted:
+            return root.limit(0), 0, 0
+        n, ahead = sum(sums[p][1] for p in wanted), before
+        for edge, keep in ((wanted[0] - 1, lambda c: here >= c), (wanted[-1], lambda c: here < c)):
+            if 0 <= edge < len(cuts):
+                root, rows = root.where(keep(cuts[edge])), rows.where(keep(cuts[edge]))
+        if n <= NARROW or 2 * n > sum(c for _, c in sums.values()):
+            return root, ahead, n
+
+
+def _root_copies(tree: JoinTree, root: DataFrame, first: int, last: int) -> DataFrame:
+    """A row of the root for each answer from first to last - 1, with answer_id and its number among the row's answers."""
+    cols, idx = [label(tree.root, c) for c in tree.relations[tree.root].columns], f"_idx{tree.root}"
+    near, ahead, n = _around(root, tree.labelled(tree.root), cols, first, last)
+    if n <= NARROW:  # so few that one sort holds them
+        w = Window.orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+        out = near.withColumn("_start", F.coalesce(F.sum(DELTA).over(w), F.lit(0)).cast(COUNT))
+    else:
+        out = running_total(near, DELTA, cols, "_start")
+    out = out.withColumn("_start", F.col("_start") + F.lit(ahead))
+    lo, hi = F.greatest(F.lit(first), F.col("_start")), F.least(F.lit(last), F.col("_start") + F.col(DELTA))
+    out = repeat(out.where(hi > lo), hi - lo, idx).withColumn(idx, (F.col(idx) + lo - F.col("_start")).cast("bigint"))
+    return out.withColumn("answer_id", (F.col("_start") + F.col(idx)).cast("bigint")).drop("_start")
+
+
+def _below(tree: JoinTree, root: DataFrame) -> JoinTree:
+    """The tree with only those rows below the root that rows of `root` (labelled) lead to: multiplicities stay."""
+    kept = {tree.root: root}
+    for r in tree.top_down():
+        for e in tree.children(r):
+            keys = kept[r].select(*(label(r, c) for c in e.parent_cols)).distinct()
+            kept[e.child] = tree.labelled(e.child).join(keys, counting.on(e), "left_semi")
+    return JoinTree([kept[r].select(*(label(r, c) for c in t.columns)).toDF(*t.columns) for r, t in enumerate(tree.relations)], tree.edges, tree.names)
+
+
+def _hot_edges(tree: JoinTree) -> set[int]:
+    """Children in which some key has over HOT rows: one number a child reaches the driver."""
+    every = None
+    for e in tree.edges:
+        most = tree.relations[e.child].groupBy(*e.child_cols).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).select(F.lit(e.child).alias("c"), "n")
+        every = most if every is None else every.union(most)
+    return {c for c, n in every.where(F.col("n") > HOT).collect()} if every is not None else set()
+
+
 def expand(tree: JoinTree, first: int | None = None, last: int | None = None) -> DataFrame:
     """Answers number first to last - 1 (from 0; all, without bounds) with answer_id if bounds are given.
 
     The root's rows are ordered by all their columns, a child's rows of one key by descending multiplicity, then all
-    columns. An answer's number is split among the children by division, and each finds its row by rank and key.
+    columns. An answer's number is split among the children by division, and each finds its row by rank and key. For up
+    to FEW answers the root's rows are fetched first, and every other relation is cut to the rows below them.
+
+    Where a key has over HOT rows in a child, its positions are cut into as many blocks as it has rows there; a child's row
+    is repeated for every block that it reaches into (less than twice as many rows in all), and a copy looks through its
+    block alone, so neither a task nor a copy meets a whole group.
     """
+    few = first is not None and last - first <= FEW
+    hot = set(tree.up) if few else _hot_edges(tree)
     up = counting.up_pass(tree)
-    root_cols = [label(tree.root, c) for c in tree.relations[tree.root].columns]
     out = up[tree.root].where(f"{DELTA} > 0")
     idx = f"_idx{tree.root}"
     if first is None:
         out = repeat(out, F.col(DELTA), idx)
     else:
-        out = running_total(out, DELTA, root_cols, "_start")
-        lo, hi = F.greatest(F.lit(first), F.col("_start")), F.least(F.lit(last), F.col("_start") + F.col(DELTA))
-        out = out.where(hi > lo)
-        out = repeat(out, hi - lo, idx).withColumn(idx, (F.col(idx) + lo - F.col("_start")).cast("bigint"))
-        out = out.withColumn("answer_id", (F.col("_start") + F.col(idx)).cast("bigint")).drop("_start")
+        out = _root_copies(tree, out, first, last)
+        if few:
+            spark = out.sparkSession
+            out = spark.createDataFrame(out.collect(), out.schema)
+            up = counting.up_pass(_below(tree, out))
     out = out.drop(DELTA)
     optional = {tree.root: False}
     for r in tree.top_down():
@@ -72,20 +147,29 @@ def expand(tree: JoinTree, first: int | None = None, last: int | None = None) ->
         for e in reversed(tree.children(r)):
             u = F.col(child_weight(e)).cast("bigint")
             quotient = (F.col(f"_idx{r}") - F.pmod(F.col(f"_idx{r}"), later)).cast(COUNT) / later
-            digits.append((e.child, F.pmod(quotient.cast("bigint"), u)))
+            digits.append((e, F.pmod(quotient.cast("bigint"), u)))
             later = later * u
-        for c, digit in digits:
-            out = out.withColumn(f"_pc{c}", digit)
+        for e, digit in digits:
+            out = out.withColumn(f"_pc{e.child}", digit)
         for e in tree.children(r):
             c = e.child
             optional[c] = optional[r] or e.how == "left"
             keys = [label(c, x) for x in e.child_cols]
             cols = [label(c, x) for x in tree.relations[c].columns]
-            w = Window.partitionBy(*keys).orderBy(F.col(DELTA).desc(), *cols).rowsBetween(Window.unboundedPreceding, -1)
-            ranked = up[c].where(f"{DELTA} > 0").withColumn(f"_rank{c}", F.coalesce(F.sum(DELTA).over(w), F.lit(0)).cast("bigint")).withColumn(f"_d{c}", F.col(DELTA).cast("bigint")).drop(DELTA)
-            pc = F.col(f"_pc{c}")
-            cond = counting.on(e) & (pc >= F.col(f"_rank{c}")) & (pc < F.col(f"_rank{c}") + F.col(f"_d{c}"))
-            out = out.join(ranked, cond, "left" if optional[c] else "inner").withColumn(f"_idx{c}", pc - F.col(f"_rank{c}")).drop(f"_rank{c}", f"_d{c}", f"_pc{c}")
+            whole = Window.partitionBy(*keys)
+            ahead = whole.orderBy(F.col(DELTA).desc(), *cols).rowsBetween(Window.unboundedPreceding, -1)
+            ranked, pc, cond = up[c], F.col(f"_pc{c}"), counting.on(e)
+            if c in hot:
+                ranked = ranked.withColumn(f"_v{c}", average(F.sum(DELTA).over(whole), F.count("*").over(whole)))
+            ranked = ranked.withColumn(f"_rank{c}", F.coalesce(F.sum(DELTA).over(ahead), F.lit(0)).cast("bigint")).withColumn(f"_d{c}", F.col(DELTA).cast("bigint")).drop(DELTA).where(f"_d{c} > 0")
+            if c in hot:
+                block = lambda x, w=f"_v{c}": F.expr(f"({x}) div {w}")
+                reach = block(f"_rank{c} + _d{c} - 1") - block(f"_rank{c}") + 1
+                ranked = repeat(ranked, reach, f"_b{c}").withColumn(f"_b{c}", F.col(f"_b{c}") + block(f"_rank{c}")).drop(f"_v{c}")
+                out = out.withColumn(f"_pb{c}", F.expr(f"_pc{c} div {child_block(e)}"))
+                cond = cond & (F.col(f"_pb{c}") == F.col(f"_b{c}"))
+            cond = cond & (pc >= F.col(f"_rank{c}")) & (pc < F.col(f"_rank{c}") + F.col(f"_d{c}"))
+            out = out.join(ranked, cond, "left" if optional[c] else "inner").withColumn(f"_idx{c}", pc - F.col(f"_rank{c}")).drop(f"_rank{c}", f"_d{c}", f"_b{c}", f"_pc{c}", f"_pb{c}")
     return out
 
 

@@ -29,9 +29,20 @@ def child_weight(e: Edge) -> str:
     return f"_u{e.child}"
 
 
+def child_block(e: Edge) -> str:
+    """Name of the parent's column with the answers below the edge for each of the child's rows of its key, on average."""
+    return f"_w{e.child}"
+
+
+def average(total: Column, rows: Column) -> Column:
+    """total / rows, rounded up, at least 1, as a long."""
+    n = F.greatest(total.try_cast("bigint"), F.lit(1).cast("bigint")) + rows - 1
+    return ((n - F.pmod(n, rows)) / rows).cast("bigint")
+
+
 def _by_key(child: DataFrame, e: Edge, value: Column, name: str) -> DataFrame:
     keys = [label(e.child, c) for c in e.child_cols]
-    return child.groupBy(*keys).agg(F.sum(value).cast(COUNT).alias(name)).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    return child.groupBy(*keys).agg(F.sum(value).cast(COUNT).alias(name), average(F.sum(value), F.count("*")).alias(child_block(e))).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
 
 
 def _key_match(e: Edge) -> Column:

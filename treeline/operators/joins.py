@@ -43,16 +43,17 @@ def full_reduce(tree: JoinTree) -> JoinTree:
 
 
 def _reduced(tree: JoinTree, up_only: bool) -> JoinTree:
+    """Keys are made distinct before they are shuffled: a hot key of the many side moves once a task."""
     kept = {r: tree.labelled(r) for r in range(len(tree.relations))}
     for r in tree.bottom_up():
         for e in tree.children(r):
             if e.how == "inner":
-                keys = kept[e.child].select(*(label(e.child, c) for c in e.child_cols))
+                keys = kept[e.child].select(*(label(e.child, c) for c in e.child_cols)).distinct()
                 kept[r] = kept[r].join(keys, counting.on(e), "left_semi")
     if not up_only:
         for r in tree.top_down():
             for e in tree.children(r):
-                keys = kept[r].select(*(label(r, c) for c in e.parent_cols))
+                keys = kept[r].select(*(label(r, c) for c in e.parent_cols)).distinct()
                 kept[e.child] = kept[e.child].join(keys, counting.on(e), "left_semi")
     back = [kept[r].toDF(*tree.relations[r].columns) for r in range(len(tree.relations))]
     return JoinTree(back, tree.edges, tree.names)
@@ -81,7 +82,7 @@ def serial_yannakakis(tree: JoinTree, limit: int | None = None) -> DataFrame:
 def count_expand(tree: JoinTree) -> DataFrame:
     """Rows of the root repeated as often as they count, each copy told by arithmetic which row of every child it meets.
 
-    No intermediate has more rows than the result.
+    A copy is matched within a block of its key's positions, so a hot key is spread and costs a few comparisons a copy.
     """
     return access.expand(tree).select(*tree.columns())
 

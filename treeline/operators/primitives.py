@@ -106,9 +106,14 @@ def seg_prefix(value: str, seg, order: Sequence[str], inclusive: bool = True) ->
     return F.coalesce(F.sum(value).over(_frame(seg, order, Window.unboundedPreceding, 0 if inclusive else -1)), F.lit(0))
 
 
+def _back(seg: str | Sequence[str], order: Sequence[str], hi: int):
+    """The rows from the segment's end to this one; in reverse order, as frames that end at the last row take a pass each."""
+    return Window.partitionBy(*([seg] if isinstance(seg, str) else seg)).orderBy(*(F.desc_nulls_last(c) for c in order)).rowsBetween(Window.unboundedPreceding, hi)
+
+
 def seg_suffix(value: str, seg, order: Sequence[str], inclusive: bool = True) -> Column:
     """Sum over the segment's rows from this one, or after it."""
-    return F.coalesce(F.sum(value).over(_frame(seg, order, 0 if inclusive else 1, Window.unboundedFollowing)), F.lit(0))
+    return F.coalesce(F.sum(value).over(_back(seg, order, 0 if inclusive else -1)), F.lit(0))
 
 
 def seg_total(value: str, seg) -> Column:
@@ -116,10 +121,19 @@ def seg_total(value: str, seg) -> Column:
     return F.sum(value).over(Window.partitionBy(*([seg] if isinstance(seg, str) else seg)))
 
 
-def seg_suffix_product(value: str, seg, order: Sequence[str]) -> Column:
-    """Exact product of integers from this row of the segment on."""
-    values = F.collect_list(F.col(value).cast(COUNT)).over(_frame(seg, order, 0, Window.unboundedFollowing))
-    return F.aggregate(values, F.lit(1).cast(COUNT), lambda a, x: (a * x).cast(COUNT))
+def with_suffix_product(r: DataFrame, value: str, seg, order: Sequence[str], name: str) -> DataFrame:
+    """r with the exact product of integers from each row of the segment on; an error beyond 38 digits.
+
+    Zeros and signs are counted. What is left are factors of two at least, of which more than 127 exceed any decimal, so
+    no more are held for a row however long the segment.
+    """
+    back, v = _back(seg, order, 0), F.col(value).cast(COUNT)
+    factor = F.abs(v)
+    out = r.withColumn("_zeros", F.count(F.when(v == 0, 1)).over(back)).withColumn("_minus", F.count(F.when(v < 0, 1)).over(back)).withColumn("_big", F.count(F.when(factor > 1, 1)).over(back))
+    held = F.collect_list(F.when((factor > 1) & (F.col("_zeros") == 0) & (F.col("_big") <= 128), factor)).over(back)
+    sign = F.when(F.col("_minus") % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
+    product = F.aggregate(held, F.lit(1).cast(COUNT), lambda a, x: (a * x).cast(COUNT))
+    return out.withColumn(name, F.when(F.col("_zeros") > 0, F.lit(0).cast(COUNT)).otherwise((sign * product).cast(COUNT))).drop("_zeros", "_minus", "_big")
 
 
 def fill_forward(value: str, seg, order: Sequence[str]) -> Column:

@@ -11,7 +11,7 @@ from treeline import suite
 from treeline.functions import encrypted, maintenance
 from treeline.operators import access, counting, joins, padding, privacy
 from treeline.operators import primitives as prim
-from treeline.sources import datasets
+from treeline.sources import datasets, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,6 +40,7 @@ def _long(df: DataFrame, name: str = "n_rows") -> DataFrame:
 
 # --- sizes -------------------------------------------------------------------------------------------------------------
 
+# the sample tree's rows are fixed values
 _SAMPLE = """WITH R1(a,b,c) AS (VALUES (15,10,3),(8,7,5),(9,10,1),(8,9,3)), R2(a,b) AS (VALUES (10,8),(11,9),(12,8),(13,15)), R3(a,b) AS (VALUES (7,15),(7,16),(10,17),(9,18)),
 R4(a,b) AS (VALUES (1,1),(3,4),(3,2),(5,1)), R5(a,b) AS (VALUES (1,1),(3,2),(3,3),(1,4)), R6(a,b) AS (VALUES (1,5),(2,6),(4,7),(4,8))
 """
@@ -94,6 +95,42 @@ def count_over_threshold(spark, sf_dir):
     return counting.join_size(datasets.star3(spark, sf_dir)).select((F.col("n_rows") > 50_000).alias("over"))
 
 
+def _text_trees() -> None:
+    """The shapes over text tables, whose cells are made of order keys, written and read back as text."""
+
+    def made(shape: datasets.Shape, k: int) -> str:
+        cells, step = shape.files[k][1], 3 + k
+        c = ", ".join(f"CAST((o_orderkey * {step + 2 * j} + o_custkey * {j}) % {23 + 9 * j + k} AS BIGINT) AS c{j}" for j in range(cells))
+        return f"SELECT {c} FROM orders WHERE o_orderkey % {2 if k == 0 else 211} = {k % 2} AND o_orderkey < 12000"
+
+    for name, shape in datasets.SHAPES.items():
+        frm = "made0"
+        for k in range(1, len(shape.files)):
+            frm += f" {'LEFT ' if k in shape.left else ''}JOIN made{k} ON made{shape.parent[k]}.c{shape.in_parent[k]} = made{k}.c{shape.in_child[k]}"
+        tables = ", ".join(f"made{k} AS ({made(shape, k)})" for k in range(len(shape.files)))
+
+        def run(spark, sf_dir, name=name, shape=shape):
+            _t(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+            folder = text.scratch(spark, name)
+            for k, (f, _) in enumerate(shape.files):
+                text.write_ints(spark.sql(made(shape, k)), f"{folder}/R{k + 1}_{f}.tbl")
+            return _long(counting.join_size(datasets.load_shape(spark, name, folder)))
+
+        run.__name__ = f"tree_count_text_{name}"
+        query(f"WITH {tables} SELECT COUNT(*) AS n_rows FROM {frm}")(run)
+
+
+_text_trees()
+
+
+@query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation")
+def pipe_views(spark, sf_dir):
+    folder, odd = text.scratch(spark, "pipes"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_regionkey"))
+    text.write_pipes(_t(spark, sf_dir, "nation").select("n_nationkey", "n_name", odd.alias("n_regionkey")), f"{folder}/nation_text.tbl")
+    text.load_views(spark, folder, ["nation_text"], {"nation_text": "n_nationkey int, n_name string, n_regionkey int"})
+    return spark.sql("SELECT * FROM nation_text")
+
+
 # --- joins -------------------------------------------------------------------------------------------------------------
 
 _Q9_COLUMNS = "l_suppkey AS r1_l_suppkey, l_partkey AS r1_l_partkey, l_orderkey AS r1_l_orderkey, o_orderkey AS r2_o_orderkey, ps_suppkey AS r3_ps_suppkey, ps_partkey AS r3_ps_partkey, p_partkey AS r4_p_partkey, s_suppkey AS r5_s_suppkey, CAST(s_nationkey AS BIGINT) AS r5_s_nationkey, CAST(n_nationkey AS BIGINT) AS r6_n_nationkey"
@@ -265,6 +302,12 @@ def two_way_join(spark, sf_dir):
     return prim.two_way_join(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "supplier"), "c_nationkey", "s_nationkey").select("c_custkey", "s_suppkey")
 
 
+@query("""WITH t AS (SELECT c_custkey, s_suppkey FROM customer, supplier WHERE c_nationkey = s_nationkey), n AS (SELECT COUNT(*) AS n FROM t)
+SELECT c_custkey, s_suppkey, FALSE AS is_dummy FROM t UNION ALL SELECT NULL, NULL, TRUE FROM (SELECT UNNEST(RANGE(GREATEST(0, 7000 - n))) FROM n) d""")
+def two_way_join_padded(spark, sf_dir):
+    return prim.two_way_join(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "supplier"), "c_nationkey", "s_nationkey", 7000).select("c_custkey", "s_suppkey", "is_dummy")
+
+
 def _scan(name: str, make, sql: str):
     def run(spark, sf_dir):
         base = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 10 + 1).alias("v"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).alias("h"))
@@ -279,6 +322,7 @@ _P, _C, _N = "UNBOUNDED PRECEDING", "CURRENT ROW", "UNBOUNDED FOLLOWING"
 _scan("seg_prefix_excl", lambda: prim.seg_prefix("v", "o_custkey", ["o_orderkey"], False), f"COALESCE(SUM(v) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN {_P} AND 1 PRECEDING), 0)")
 _scan("seg_prefix_incl", lambda: prim.seg_prefix("v", "o_custkey", ["o_orderkey"]), f"SUM(v) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN {_P} AND {_C})")
 _scan("seg_suffix", lambda: prim.seg_suffix("v", "o_custkey", ["o_orderkey"]), f"SUM(v) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN {_C} AND {_N})")
+_scan("seg_suffix_excl", lambda: prim.seg_suffix("v", "o_custkey", ["o_orderkey"], False), f"COALESCE(SUM(v) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND {_N}), 0)")
 _scan("seg_total", lambda: prim.seg_total("v", "o_custkey"), "SUM(v) OVER (PARTITION BY o_custkey)")
 _scan("fill_forward", lambda: prim.fill_forward("h", "o_custkey", ["o_orderkey"]), f"LAST_VALUE(h IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN {_P} AND {_C})")
 
@@ -287,7 +331,7 @@ _scan("fill_forward", lambda: prim.fill_forward("h", "o_custkey", ["o_orderkey"]
 FROM (SELECT l_orderkey, l_linenumber, CAST(MAX(l_partkey) % 3 + 1 AS BIGINT) AS v FROM lineitem GROUP BY l_orderkey, l_linenumber) t""")
 def seg_product(spark, sf_dir):
     base = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.max("l_partkey") % 3 + 1).alias("v"))
-    return base.select("l_orderkey", "l_linenumber", prim.seg_suffix_product("v", "l_orderkey", ["l_linenumber"]).cast("bigint").alias("x"))
+    return prim.with_suffix_product(base, "v", "l_orderkey", ["l_linenumber"], "x").select("l_orderkey", "l_linenumber", F.col("x").cast("bigint"))
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey DESC NULLS LAST, o_totalprice, o_orderkey LIMIT 50")
@@ -334,6 +378,47 @@ def protected_size_formula(spark, sf_dir):
     return spark.createDataFrame([(privacy.protected_size(exact, 17, 8.0, 1e-9),)], "protected long")
 
 
+def _residual_sql(eps: float, delta: float) -> str:
+    """Three relations in a chain, by the definition: degrees, counts and every pair of distances."""
+    beta = privacy.smoothing(eps, delta)
+    k = int(2 / beta) + 3
+    most = lambda frm, by: f"(SELECT MAX(n) FROM (SELECT COUNT(*) AS n FROM {frm} GROUP BY {by}) t)"
+    d = {"l1": most("lineitem", "l_orderkey"), "o1": most("orders", "o_orderkey"), "o2": most("orders", "o_custkey"), "o12": most("orders", "o_orderkey, o_custkey"), "c2": most("customer", "c_custkey")}
+    lo, oc = most("lineitem, orders WHERE l_orderkey = o_orderkey", "o_custkey"), most("orders, customer WHERE o_custkey = c_custkey", "o_orderkey")
+    d |= {"lo": lo, "oc": oc}
+    cols = ", ".join(f"{v} AS {c}" for c, v in d.items())
+    rs = lambda b01, b12: f"(SELECT CAST(CEIL(MAX(EXP(-{beta!r} * (s + t)) * GREATEST({b12} + o12 * t + c2 * s + s * t, l1 * c2 + l1 * t + c2 * s + s * t, {b01} + l1 * s + o12 * t + s * t))) AS BIGINT) FROM two)".replace("o12 * t + c2 * s", "o12 * s + c2 * t")
+    return f"""WITH d AS (SELECT {cols}, (SELECT COUNT(*) FROM lineitem) AS nl, (SELECT COUNT(*) FROM orders) AS no, (SELECT COUNT(*) FROM customer) AS nc),
+two AS (SELECT d.*, CAST(a.range AS DOUBLE) AS s, CAST(b.range AS DOUBLE) AS t FROM d, RANGE({k + 1}) a, RANGE({k + 1}) b WHERE a.range + b.range <= {k}),
+r AS (SELECT {rs("l1 * o2", "o1 * c2")} AS by_estimates, {rs("LEAST(lo, l1 * o2)", "LEAST(oc, o1 * c2)")} AS by_exact, GREATEST(no * nc, nl * nc, nl * no) AS global_bound FROM d)
+SELECT by_estimates, by_exact, by_exact AS by_relaxation, global_bound, LEAST(by_estimates, by_exact, global_bound) AS sensitivity,
+(SELECT COUNT(*) FROM lineitem, orders, customer WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey) + CAST(CEIL({privacy.noise_factor(eps, delta)!r} * LEAST(by_estimates, by_exact, global_bound)) AS BIGINT) AS protected FROM r"""
+
+
+def _protected(eps: float):
+    def run(spark, sf_dir):
+        t = datasets.chain4(spark, sf_dir)
+        tree = datasets._tree(list(zip(t.names[:3], t.relations[:3], strict=True)), [(0, 1, "l_orderkey", "o_orderkey"), (1, 2, "o_custkey", "c_custkey")])
+        s = padding.sizes(tree, epsilon=eps)
+        b = s.breakdown
+        return spark.createDataFrame([(b.by_estimates, b.by_exact, b.by_relaxation, b.global_bound, b.sensitivity, s.protected)], "by_estimates long, by_exact long, by_relaxation long, global_bound long, sensitivity long, protected long")
+
+    run.__name__ = f"protected_size_chain3_eps{eps:g}"
+    query(_residual_sql(eps, 1e-9))(run)
+
+
+_protected(1.0)
+_protected(8.0)
+
+
+@query("""SELECT 'lineitem' AS relation, 0 AS edges, COUNT(*) AS max_frequency FROM lineitem UNION ALL SELECT 'lineitem', 1, MAX(n) FROM (SELECT COUNT(*) AS n FROM lineitem GROUP BY l_orderkey) t
+UNION ALL SELECT 'orders', 0, COUNT(*) FROM orders UNION ALL SELECT 'orders', 1, MAX(n) FROM (SELECT COUNT(*) AS n FROM orders GROUP BY o_orderkey) t""")
+def degree_table(spark, sf_dir):
+    t = datasets.chain4(spark, sf_dir)
+    two = datasets._tree(list(zip(t.names[:2], t.relations[:2], strict=True)), [(0, 1, "l_orderkey", "o_orderkey")])
+    return privacy.degree_table(two).select("relation", F.signum("subset").cast("int").alias("edges"), "max_frequency")
+
+
 @query()
 def protected_size_eps(spark, sf_dir):
     s = padding.sizes(datasets.chain4(spark, sf_dir), epsilon=8.0)
@@ -375,6 +460,25 @@ def enc_cipher_join(spark, sf_dir):
     return c.join(o, F.col("a") == F.col("b")).groupBy("a").agg(F.count("*").alias("n")).select(encrypted.decrypt(F.col("a"), key, "bigint").alias("c_custkey"), "n")
 
 
+@query("SELECT c_custkey, c_acctbal AS balance, c_mktsegment AS segment FROM customer WHERE c_mktsegment = 'BUILDING'")
+def enc_decrypt(spark, sf_dir):
+    encrypted.register(spark)
+    _t(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return spark.sql("SELECT c_custkey, enc_float4_decrypt(enc_float4_encrypt(CAST(c_acctbal AS STRING))) AS balance, enc_text_decrypt(c_mktsegment) AS segment FROM customer WHERE enable_client_mode() AND c_mktsegment = enc_text_encrypt('BUILDING')")
+
+
+@query("SELECT COUNT(*) AS n, TRUE AS within FROM orders")
+def enc_perturbed(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", encrypted.perturbed(F.col("o_orderkey"), 50).alias("moved"))
+    return o.agg(F.count("*").alias("n"), F.min((F.col("moved") - F.col("o_orderkey")).between(1, 50)).alias("within"))
+
+
+@query('SELECT n_regionkey AS "region key", COUNT(*) AS "number of nations" FROM nation GROUP BY n_regionkey')
+def quoted_identifiers(spark, sf_dir):
+    _t(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    return suite.quoted(spark, 'SELECT n_regionkey AS "region key", COUNT(*) AS "number of nations" FROM nation GROUP BY n_regionkey')
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT -1, 'NEW'")
 def scd_type1(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from treeline.operators.access import running_total
 
@@ -16,9 +17,16 @@ class SchemaError(ValueError):
 
 
 def read_ints(spark: SparkSession, path: str, columns: Sequence[str], check: bool = True) -> DataFrame:
-    """A table of integers between single spaces, one row a line, blank lines skipped; another number of cells is an error."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in columns])
-    df = spark.read.csv(path, sep=" ", schema=schema, mode="FAILFAST", enforceSchema=True)
+    """A table of integers between white space of any kind and length, one row a line, blank lines skipped.
+
+    Another number of cells, or what is no integer, is an error when the table is read, whichever columns are asked for.
+    """
+    cells = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S")).select("value", cells.alias("_cells"))
+    whole = (F.size("_cells") == len(columns)) & F.forall("_cells", lambda x: x.rlike("^[+-]?[0-9]+$"))
+    told = F.concat(F.lit(f"a line of {path} is not {len(columns)} integers: "), F.substring("value", 1, 200))
+    df = lines.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(told).cast("boolean")))
+    df = df.select(*(F.element_at("_cells", k + 1).cast("long").alias(c) for k, c in enumerate(columns)))
     if check and df.isEmpty():
         raise SchemaError(f"{path} has no rows")
     return df
@@ -73,15 +81,25 @@ def pair_ids(df: DataFrame, a: str, b: str, name: str = "pair_id") -> DataFrame:
     return running_total(pairs.withColumn("_one", F.lit(1)), "_one", [a, b], "_before").select(a, b, (F.col("_before") + 1).cast("bigint").alias(name))
 
 
-def load_views(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    """Parquet tables of a folder, registered as views."""
+def load_views(spark: SparkSession, folder: str, names: Sequence[str], schemas: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
+    """Tables of a folder, registered as views: <name>.tbl between pipes where a schema is given, else <name>.parquet."""
     out = {}
     for n in names:
-        out[n] = spark.read.parquet(f"{sf_dir}/{n}.parquet")
+        out[n] = read_pipes(spark, f"{folder}/{n}.tbl", schemas[n]) if schemas and n in schemas else spark.read.parquet(f"{folder}/{n}.parquet")
         out[n].createOrReplaceTempView(n)
     return out
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder's name where all executors see it: below spark.checkpoint.dir, or a local one if the master is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="treeline-scratch")
+    return f"{shared.rstrip('/')}/treeline-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
 def collect_capped(df: DataFrame, cells: int = 1_000_000) -> list:
     """All rows; an error if they have more cells."""
     n = cells // max(1, len(df.columns))

@@ -239,6 +239,18 @@ HAVING CAST(SUM(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) > 1.05 * (SELECT C
 }
 
 
+def quoted(spark, text: str):
+    """SQL text in which double quotes enclose names, as the standard has it."""
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.ansi.enabled", "spark.sql.ansi.doubleQuotedIdentifiers")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "true")
+        return spark.sql(text)  # parsed at once
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def runner(name: str):
     """The query as a function of (spark, folder)."""
 
