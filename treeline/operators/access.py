@@ -19,6 +19,14 @@ NARROW, FEW = 200_000, 100_000
 HOT = 64
 
 
+def _piece(here: Column, cuts: Sequence[Column]) -> Column:
+    """How many of the sorted cuts are at or below: by halving, so a row is compared a few times."""
+    if not cuts:
+        return F.lit(0)
+    k = len(cuts) // 2
+    return F.when(here < cuts[k], _piece(here, cuts[:k])).otherwise(_piece(here, cuts[k + 1 :]) + F.lit(k + 1))
+
+
 def running_total(df: DataFrame, value: str, order: Sequence[str], name: str) -> DataFrame:
     """Adds the sum of column `value` over all rows before in the order of the columns, as numbered rows would have it.
 
@@ -29,12 +37,8 @@ def running_total(df: DataFrame, value: str, order: Sequence[str], name: str) ->
     cols = list(order)
     sample = df.select(*cols).orderBy(F.xxhash64(*cols), *cols).limit(PIECES - 1).distinct().orderBy(*cols).collect()
     types = [df.schema[c].dataType for c in cols]
-    here = F.struct(*cols)
-    piece = F.lit(0)
-    for row in sample:
-        cut = F.struct(*(F.lit(x).cast(t).alias(c) for x, t, c in zip(row, types, cols, strict=True)))
-        piece = piece + (here >= cut).cast("int")
-    placed = df.withColumn("_piece", piece)
+    cuts = [F.struct(*(F.lit(x).cast(t).alias(c) for x, t, c in zip(row, types, cols, strict=True))) for row in sample]
+    placed = df.withColumn("_piece", _piece(F.struct(*cols), cuts))
     sums = placed.groupBy("_piece").agg(F.sum(value).cast(COUNT).alias("_sum"))
     ahead = sums.alias("a").join(sums.alias("b"), F.col("b._piece") < F.col("a._piece"), "left").groupBy("a._piece").agg(F.coalesce(F.sum("b._sum"), F.lit(0)).cast(COUNT).alias("_ahead"))  # PIECES rows
     w = Window.partitionBy("_piece").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
@@ -61,10 +65,7 @@ def _around(root: DataFrame, rows: DataFrame, cols: Sequence[str], first: int, l
     while True:
         sample = rows.select(*cols).orderBy(F.xxhash64(*cols), *cols).limit(PIECES - 1).distinct().orderBy(*cols).collect()
         cuts = [F.struct(*(F.lit(x).cast(t).alias(c) for x, t, c in zip(row, types, cols, strict=True))) for row in sample]
-        piece = F.lit(0)
-        for cut in cuts:
-            piece = piece + (here >= cut).cast("int")
-        sums = {r[0]: (int(r[1]), r[2]) for r in root.groupBy(piece.alias("p")).agg(F.sum(DELTA), F.count("*")).collect()}  # at most PIECES rows
+        sums = {r[0]: (int(r[1]), r[2]) for r in root.groupBy(_piece(here, cuts).alias("p")).agg(F.sum(DELTA), F.count("*")).collect()}  # at most PIECES rows
         wanted, before, total = [], ahead, ahead
         for p in sorted(sums):
             if total < last and total + sums[p][0] > first:
