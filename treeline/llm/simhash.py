@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from treeline.llm._common import batches, drop_path, lookup, materialize, texts_of
 
-#: First bit and width of the bands; fingerprints at most four bits apart agree in at least one of five.
-BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Distinct fingerprints that agree in a key, on average, at most.
+BUCKET = 1000
 #: Fingerprints that one task takes of a bucket, at least; a larger bucket is cut into shards that meet in pairs.
 SHARD = 8192
 #: Queries that walk a forest together.
@@ -145,17 +145,27 @@ def _edges(radius: int):
     return run
 
 
+def masks(n: int, radius: int) -> list[int]:
+    """Bits that a fingerprint's keys keep: of k + radius blocks, every choice of k; at most radius differing bits leave
+    one of these choices whole. k grows with the number of fingerprints, so that BUCKET of them share a key on average."""
+    k = 1
+    while k < 4 and n >> (64 * k // (k + radius)) > BUCKET:
+        k += 1
+    cuts = [64 * i // (k + radius) for i in range(k + radius + 1)]
+    blocks = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    return [sum(c) for c in combinations(blocks, k)]
+
+
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp), enough to connect all that chains of links connect.
 
-    Rows meet in a bucket if they agree in a band. A bucket of over max(SHARD, 1/1000 of all rows) values, of which
-    there are at most 5000, is cut into shards that meet in pairs, so that no task holds more than two shards.
+    Rows meet in a bucket if they agree in the bits of a mask. A bucket of over max(SHARD, 1/1000 of all rows) values, of
+    which there are at most 1000 a mask, is cut into shards that meet in pairs, so that no task holds more than two shards.
     """
-    if radius > len(BANDS) - 1:
-        raise ValueError("the bands find links of at most four differing bits")
     n = fps.count()
     most = max(SHARD, n // 1000)
-    band = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for k, (at, width) in enumerate(BANDS)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    band = [F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("value")) for k, m in enumerate(masks(n, radius))]
     dealt = fps.select("fp", F.explode(F.array(*band)).alias("b")).select("fp", "b.*")
     large = dealt.groupBy("band", "value").count().where(F.col("count") > most).select("band", "value", F.ceil(F.col("count") / most).cast("int").alias("shards"))
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("shards")).cast("int")
@@ -220,8 +230,10 @@ def simhash_components(docs: DataFrame, radius: int = 4) -> DataFrame:
     gives an empty one; other columns are not looked at.
     """
     fps, rooted, total = _rooted(docs, radius)
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named, _ = materialize(rooted.join(ids, "root").select("fp", "n_rows", "component_id"), "components")
+    rooted, _ = materialize(rooted, "rooted")
+    ids, _ = materialize(rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_fps")), "roots")
+    distinct = ids.agg(F.coalesce(F.sum("n_fps"), F.lit(0))).first()[0]
+    named, _ = materialize(lookup(rooted, ids, "root", "n_fps", distinct, F.col("fp")).select("fp", "n_rows", "component_id"), "components")
     return lookup(fps, named, "fp", "n_rows", total, F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
