@@ -307,14 +307,14 @@ def test_ann_recall_of_the_registered_settings(spark):
 
 def test_mixing_rates(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4500, "big").when(F.col("id") < 5900, "mid").otherwise(F.lit(None)).alias("source"), F.lit(1).alias("rate"))
-    out = mixing.mix(df, {"big": 1.0, "mid": 1.0, "": 2.0})
+    out = mixing.mix(df, {"big": 1.0, "mid": 1.0, None: 2.0})
     n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
     assert n["big"] == pytest.approx(1500, rel=0.1) and n["mid"] == pytest.approx(1500, rel=0.1) and n[None] == pytest.approx(3000, rel=0.1)
     assert mixing.mix(df, {"big": 1.0}).where("source <> 'big' OR source IS NULL").count() == 0
     assert "rate" in out.columns
     keys = [r["shuffle_key"] for r in out.collect()]
     assert keys == sorted(keys) and len(set(keys)) == len(keys)
-    assert out.exceptAll(mixing.mix(df.repartition(7), {"big": 1.0, "mid": 1.0, "": 2.0})).isEmpty()
+    assert out.exceptAll(mixing.mix(df.repartition(7), {"big": 1.0, "mid": 1.0, None: 2.0})).isEmpty()
 
 
 def test_poisson_inverts():
@@ -331,7 +331,7 @@ def test_poisson_inverts():
 
 
 def test_poisson_column(spark):
-    got = spark.range(20_000).select(*(mixing.poisson(F.lit(r), mixing.uniform("t", F.col("id"))).alias(f"p{k}") for k, r in enumerate((0.0, 0.4, 3.0, 50.0)))).agg(*(F.avg(f"p{k}") for k in range(4)), *(F.variance(f"p{k}") for k in range(4))).first()
+    got = spark.range(20_000).select(*(mixing.poisson(F.lit(r), lambda i: mixing.uniform("t", F.col("id"), i)).alias(f"p{k}") for k, r in enumerate((0.0, 0.4, 3.0, 50.0)))).agg(*(F.avg(f"p{k}") for k in range(4)), *(F.variance(f"p{k}") for k in range(4))).first()
     for k, r in enumerate((0.0, 0.4, 3.0, 50.0)):
         assert got[k] == pytest.approx(r, rel=0.05) and got[4 + k] == pytest.approx(r, rel=0.05)
 
@@ -341,6 +341,9 @@ def test_mixing_awkward(docs, none):
     same = out.where("doc_id = 20").groupBy("copy").count().collect()
     assert all(r["count"] == 3 for r in same)  # the repeated row's copies agree
     assert set(docs.columns) <= set(out.columns) and mixing.mix(none).count() == 0
+    alike = docs.sparkSession.createDataFrame([(None, f"text {k}", "a") for k in range(400)] + [(None, None, ""), (None, "", None)], "doc_id long, text string, source string")
+    n = {r["text"]: r["count"] for r in mixing.mix(alike, {"a": 1.0, "": 0.0}).groupBy("text").count().collect()}
+    assert 200 < len(n) < 310 and sum(n.values()) == pytest.approx(402, rel=0.2) and None not in n  # rows without an id draw apart
 
 
 def test_lookup_joins_hot_keys(spark):
@@ -369,8 +372,11 @@ def test_quality(spark, docs, none):
     assert len(held) > 50 and np.mean([(r["score"] >= 0.5) == (r["doc_id"] < 300) for r in held]) > 0.97
     out = quality.score_quality(docs, model, keep=["doc_id"])
     assert out.count() == docs.count() and out.where("score IS NULL OR score < 0 OR score > 1").isEmpty()
-    with pytest.raises(ValueError):
-        quality.score_quality(docs, model)  # docs has a score of its own
+    over = quality.score_quality(docs, model)  # docs has a score of its own
+    assert sorted(over.columns) == sorted(docs.columns) and over.where("score < 0 OR score > 1").isEmpty()
+    twice = docs.sparkSession.createDataFrame([(k // 2, f"good words {k}" if k % 4 < 2 else f"%%% {k}") for k in range(80)], "doc_id long, text string")
+    labels = docs.sparkSession.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    assert (quality.fit(twice, labels)[0] == quality.fit(twice.orderBy(F.desc("text")).repartition(5), labels)[0]).all()
     empty = quality.fit(none, labels)
     assert quality.score_quality(none, empty, keep=["doc_id"]).count() == 0
     assert quality.score_quality(df, empty).agg(F.max("score")).first()[0] == 0.5
@@ -437,8 +443,32 @@ def test_links_chains_and_shards(spark, monkeypatch):
         for k, f in enumerate(fps):
             classes.setdefault(comp.get(f, f"alone {f}"), set()).add(want[k])
         assert all(len(c) == 1 for c in classes.values()) and len(classes) == len(set(want))
-    with pytest.raises(ValueError):
-        simhash.links(df, 5)
+
+
+def test_simhash_masks_lose_no_link(spark, monkeypatch):
+    """Every choice of k, and another radius: components equal brute force; any few differing bits leave a mask whole."""
+    rng = random.Random(8)
+    fps = [rng.getrandbits(64) for _ in range(60)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 7))) for f in fps for _ in range(4)]
+    fps = sorted(set(fps))
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    for bucket, radius, keys in ((1000, 4, 5), (0, 4, 70), (0, 6, 210), (1000, 2, 3)):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        kept = simhash.masks(len(fps) if bucket else 1 << 60, radius)
+        monkeypatch.setattr(simhash, "masks", lambda n, r, kept=kept: kept)
+        assert len(kept) == keys
+        for _ in range(200):
+            d = sum(1 << b for b in rng.sample(range(64), radius))
+            assert any(m & d == 0 for m in kept)
+        comp = {r["node"] & (1 << 64) - 1: r["root"] & (1 << 64) - 1 for r in simhash.components(simhash.links(df, radius)).collect()}
+        root = {f: f for f in fps}
+        for i, a in enumerate(fps):  # the least reachable by joining classes
+            for b in fps[:i]:
+                if (a ^ b).bit_count() <= radius and root[a] != root[b]:
+                    lo, hi = sorted((root[a], root[b]))
+                    root = {f: lo if r == hi else r for f, r in root.items()}
+        assert len(set(root.values())) == len({comp.get(f, f) for f in fps}) and all((comp.get(a, a) == comp.get(b, b)) == (root[a] == root[b]) for a in fps[::7] for b in fps)
+        monkeypatch.undo()
 
 
 # --- 9: token files ----------------------------------------------------------------------------------------------------

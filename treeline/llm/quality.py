@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -105,7 +106,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-_EXAMPLE = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+_EXAMPLE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("label", pa.int32()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
 
 def _examples(s: Settings):
@@ -116,7 +117,7 @@ def _examples(s: Settings):
                 for i, y, t in zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), texts_of(b.column("text")), strict=True):
                     counts = np.bincount(np.concatenate(features(t, powers, s)), minlength=s.buckets)
                     ids = np.flatnonzero(counts)
-                    yield i, y, ids, counts[ids]
+                    yield i, zlib.crc32(t), y, ids, counts[ids]
 
         return batches(_EXAMPLE, rows(), 200)
 
@@ -126,12 +127,13 @@ def _examples(s: Settings):
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, float]:
     """Fit on docs (doc_id, text) and labels (doc_id, quality) where not held_out. The sample's bound is s.max_train.
 
-    NULL labels are left out; of several labels of a document the least counts, and of several texts one.
+    NULL labels are left out; of several labels of a document the least counts, and of several texts that
+    of the least crc32. Without any example every score is the same.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))), "doc_id").limit(s.max_train)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_examples(s), "doc_id long, label int, ids array<int>, counts array<int>")
-    found = sample.toArrow().sort_by("doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_examples(s), "doc_id long, h long, label int, ids array<int>, counts array<int>")
+    found = sample.toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
     seen: set[int] = set()
     examples = []
     for i, y, ids, counts in zip(found["doc_id"].to_pylist(), found["label"].to_pylist(), found["ids"], found["counts"], strict=True):
@@ -159,14 +161,15 @@ def _scores(model, s: Settings, keep: list[str], score: str):
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings = Settings(), keep: list[str] | None = None, score: str = "score") -> DataFrame:
     """The columns `keep` of docs (all, if None) and a score from 0 to 1 of the whole text (higher: label 1 likelier).
 
-    NULL and empty texts get what the end feature alone gives. Equal texts get equal scores. The model, of fixed size,
+    A column of the score's name is replaced. NULL and empty texts get what the end feature alone gives. Equal texts get equal scores. The model, of fixed size,
     is broadcast.
     """
     keep = docs.columns if keep is None else keep
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     types = dict(docs.dtypes)
+    if score == "text":
+        raise ValueError("the score can't replace the text")
+    keep = [c for c in keep if c != score]
     cols = keep if "text" in keep else [*keep, "text"]
-    if score in cols:
-        raise ValueError(f"docs already has a column {score}")
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + f", `{score}` double"
     return docs.select(*[F.col(f"`{c}`") for c in cols]).mapInArrow(_scores(sent, s, keep, score), schema)
