@@ -30,8 +30,8 @@ def poisson(rate: Column, u: Callable[[Column], Column]) -> Column:
 
     def invert(r: Column, v: Column) -> Column:
         first = F.exp(-r)
-        start = F.struct(F.lit(0).alias("k"), first.alias("p"), first.alias("cdf"))
-        step = lambda a, k: F.when(a["cdf"] > v, a).otherwise(F.struct(k.cast("int").alias("k"), (a["p"] * r / k).alias("p"), (a["cdf"] + a["p"] * r / k).alias("cdf")))
+        start = F.struct(F.lit(0).alias("k"), first.alias("p"), first.alias("cdf"), v.alias("v"))  # v is worked out once
+        step = lambda a, k: F.when(a["cdf"] > a["v"], a).otherwise(F.struct(k.cast("int").alias("k"), (a["p"] * r / k).alias("p"), (a["cdf"] + a["p"] * r / k).alias("cdf"), a["v"].alias("v")))
         return F.aggregate(tail, start, step, lambda a: a["k"])
 
     pieces = F.ceil(rate / F.lit(16.0)).cast("int")
