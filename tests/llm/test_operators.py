@@ -174,9 +174,21 @@ def test_ctw_base_and_order(docs, rows, none):
     want = Counter((i, held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens)
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found) == want
     assert all(r["score"] < 0 for r in found)
+    sizes = Counter((i, len(b" ".join(ws[:-1])) + 1) for i, ws in tokens)
+    assert Counter((r["doc_id"], r["n_bytes"]) for r in found) == sizes
+    assert all(math.isclose(r["bits_per_byte"] * r["n_bytes"], -r["score"] * math.log2(10)) for r in found)
     assert ctw.score(none).count() == 0
 
 
+def test_ctw_blocks_come_from_files(spark, docs, tmp_path):
+    path = str(tmp_path / "d")
+    docs.write.parquet(path)
+    assert ctw._of_files(spark.read.parquet(path).where("doc_id > 3").select("doc_id", "text"))
+    assert not ctw._of_files(docs) and not ctw._of_files(spark.read.parquet(path).union(spark.read.parquet(path)))
+    scores = [Counter((r["doc_id"], r["n_tokens"], round(r["score"], 9)) for r in by_id(ctw.score(d))) for d in (docs, spark.read.parquet(path))]
+    assert scores[0] == scores[1]
+
+
 def test_ctw_equals_brute_force(spark):
     """Every decision's mixture by recursion over its contexts."""
     texts = ["the cat sat", "the mat", "a cat", "that hat", "cat the"]

@@ -5,6 +5,7 @@ end. A byte is eight binary decisions; each has a tree of contexts, the up to DE
 texts give every node a Krichevsky-Trofimov estimate; a node's weighted probability is half its own block probability
 plus half the product of its children's, which fixes how much the prediction trusts each depth. Trees, counts and
 predictions are tables, so the model grows with the corpus; a block of documents gets the rows that it uses by a join.
+The code length per byte is that of the modelled bytes: words, spaces and the end.
 """
 
 from __future__ import annotations
@@ -255,7 +256,7 @@ def _score(total: int, distinct: int):
         look = _Lookup(tree["g"].to_numpy().view(np.uint64), tree["value"].to_numpy())
         del known, tree
         end = number[b"\n"]
-        n_tokens, n_known, base, score = [], [], [], []
+        n_tokens, n_known, base, score, n_bytes = [], [], [], [], []
         for b in bounded_batches(docs.to_batches(), SLICE):
             split = [words_of(t) for t in texts_of(b.column("text"))]
             for w in split:
@@ -265,19 +266,24 @@ def _score(total: int, distinct: int):
                 base.append(float(log[at].sum()))
             g, start = grams(split)
             score += np.add.reduceat(look(g), start).tolist()
-        return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(base), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
+            n_bytes += np.diff(start, append=len(g)).tolist()
+        bits = np.array(score, float) / (-math.log10(2) * np.array(n_bytes, float))
+        return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(base), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()), "n_bytes": pa.array(n_bytes, pa.int64()), "bits_per_byte": pa.array(bits, pa.float64())})
 
     return run
 
 
-_COLUMNS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_COLUMNS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every row of docs (doc_id, text).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), n_bytes and bits_per_byte (the code
+    length of the modelled bytes) of every row of docs (doc_id, text).
 
-    Trained on the rows that held_out() leaves. NULL and empty texts are an end alone. Equal texts get equal scores. An
-    empty table gives an empty result; without training texts every decision is even. Other columns are not looked at.
+    Trained on the rows that held_out() leaves. NULL and empty texts are an end alone; a very long text is one row of its
+    block, whole. Rows with a NULL doc_id are trained on and scored like others. Equal texts get equal scores. An empty
+    table gives an empty result; without training texts every decision is even. Other columns are not looked at. Input
+    that is not plainly read from files is written to the shared folder first, so that its blocks are bounded too.
     """
     spark, key = docs.sparkSession, "spark.sql.files.minPartitionNum"
     before = spark.conf.get(key, None)
@@ -288,14 +294,23 @@ def score(docs: DataFrame) -> DataFrame:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def _of_files(df: DataFrame) -> bool:
+    """True where df's rows are columns of one table of files, maybe filtered."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+
+
 def _score_all(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not _of_files(own):
+        own, _ = materialize(own, "texts")
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     parts = max(1, -(-split // BLOCK_BYTES))
-    # a block is a part of a file's split, so counting needs no exchange of texts; other input is dealt by hash
-    file = F.input_file_name()
-    place = F.when(file != "", F.concat_ws(":", file, F.input_file_block_start(), F.pmod(F.xxhash64("doc_id"), F.lit(parts)))).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("string"))
+    # a block is a part of a file's split, so counting needs no exchange of texts
+    place = F.concat_ws(":", F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
     own = own.withColumn("block", F.xxhash64(place)).withColumn("held_out", held_out(F.col("doc_id")))
     used, _ = materialize(own.mapInArrow(_count, "block long, g long, word binary, n long"), "used")
     words, _ = materialize(used.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")
