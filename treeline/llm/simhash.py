@@ -179,24 +179,30 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the least node that each node of an edge reaches, by alternating large and small stars.
 
-    Each round is written to the shared folder; only counts reach the driver.
+    Each round is written to the shared folder; only counts reach the driver. The edges of a star's hub are dealt by
+    salts, so that a component of any size lands in no single task.
     """
     spark = edges.sparkSession
+
+    def least(stars: DataFrame, of: DataFrame, total: int) -> DataFrame:
+        """Edges of `of` with m, the least end of u's star in stars, which has `total` edges."""
+        low = stars.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        return lookup(of, low, "u", "n", total, F.col("v"), how="inner")
+
     e, path = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    before, n = None, e.count()
     for _ in range(rounds):
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = least(both, both.where("v > u"), 2 * n).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = least(large, large, n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         e2, path2 = materialize(small, "edges")
         drop_path(spark, path)
         e, path = e2, path2
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
-        before = now
+        before, n = now, now[0]
     raise RuntimeError("components did not settle")
 
 
