@@ -28,7 +28,7 @@ BLOCK_BYTES = 16 << 20
 #: Depth from which a context's subtree is worked out in one piece: at most 256 ** (DEPTH - SPLIT + 1) grams, a fixed bound.
 SPLIT = 3
 #: Grams that are worked out together, about.
-PIECE = 400_000
+PIECE = 200_000
 _HALF = math.log(0.5)
 #: Bytes of text whose grams are held at once, and grams that wait to be merged at most.
 SLICE, WAITING = 1 << 20, 1_500_000
@@ -98,15 +98,24 @@ _FACT = pa.schema([("block", pa.int64()), ("g", pa.int64()), ("word", pa.binary(
 
 
 def _count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blocks: dict[int, _Counts] = {}
+    """What each block uses. A task reads its splits one after the other, so a split's blocks are complete once another begins."""
+    blocks: dict[int, dict[int, _Counts]] = {}
     for b in bounded_batches(it, SLICE):
-        rows: dict[int, tuple[list, list]] = {}
-        for k, t, h in zip(b.column("block").to_pylist(), texts_of(b.column("text")), b.column("held_out").to_pylist(), strict=True):
-            texts, held = rows.setdefault(k, ([], []))
+        rows: dict[tuple[int, int], tuple[list, list]] = {}
+        for s, k, t, h in zip(b.column("split").to_pylist(), b.column("block").to_pylist(), texts_of(b.column("text")), b.column("held_out").to_pylist(), strict=True):
+            texts, held = rows.setdefault((s, k), ([], []))
             texts.append(t)
             held.append(h)
-        for k, (texts, held) in rows.items():
-            blocks.setdefault(k, _Counts()).add(texts, held)
+        last = s
+        for (s, k), (texts, held) in rows.items():
+            blocks.setdefault(s, {}).setdefault(k, _Counts()).add(texts, held)
+        for s in [s for s in blocks if s != last]:
+            yield from _facts(blocks.pop(s))
+    for found in blocks.values():
+        yield from _facts(found)
+
+
+def _facts(blocks: dict[int, _Counts]) -> Iterator[pa.RecordBatch]:
     for k, c in blocks.items():
         c.merge()
         n = len(c.grams)
@@ -312,7 +321,8 @@ def _score_all(docs: DataFrame) -> DataFrame:
     # a block is a part of a file's split, so counting needs no exchange of texts
     place = F.concat_ws(":", F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
     own = own.withColumn("block", F.xxhash64(place)).withColumn("held_out", held_out(F.col("doc_id")))
-    used, _ = materialize(own.mapInArrow(_count, "block long, g long, word binary, n long"), "used")
+    of_split = F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("split")
+    used, _ = materialize(own.select("doc_id", "text", "block", "held_out", of_split).mapInArrow(_count, "block long, g long, word binary, n long"), "used")
     words, _ = materialize(used.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     counted, _ = materialize(used.where("g IS NOT NULL").groupBy("g").agg(F.sum("n").alias("n")), "grams")
