@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from treeline.llm import minhash, simhash
 
@@ -59,3 +61,19 @@ def test_null_and_repeated_ids_keep_one_row_of_each_group(spark):
     for kept in (simhash.near_dedup(docs), cp.near_duplicates(spark, docs, "")):
         got = [(r["doc_id"], r["text"]) for r in kept.collect()]
         assert Counter(t for _, t in got) == Counter(texts) and (3, texts[0]) in got and kept.columns == docs.columns
+
+
+def test_simhash_links_are_candidates(spark):
+    """Without any shared band, what the fingerprints link is still compared."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(8):
+        w = rng.choices([f"w{k}" for k in range(3000)], k=900)
+        texts += [" ".join(w), " ".join(w[:-1] + ["end"])]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(99, ""), (98, "  ")], "doc_id long, text string").repartition(3)
+    signed = docs.mapInArrow(minhash._sign, "doc_id long, key long, fp long, bands array<long>")
+    uniq = signed.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.array().cast("array<long>").alias("bands"))
+    id_of = {r["key"]: r["least_id"] for r in uniq.collect()}
+    found = {frozenset((id_of[r["u"]], id_of[r["v"]])) for r in minhash.links(docs, uniq).collect()}
+    fps = [simhash.fingerprint_of(minhash.shingles(t.encode())) for t in texts]
+    assert found == {frozenset((k, k + 1)) for k in range(0, 16, 2) if (fps[k] ^ fps[k + 1]).bit_count() <= 4} and len(found) > 4
