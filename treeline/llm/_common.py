@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import os
 import tempfile
@@ -98,6 +100,19 @@ def lookup(df: DataFrame, small: DataFrame, key: str, weight: str, total: int, s
     return joined.drop("__tl_salt", "__tl_salt2", "__tl_key2")
 
 
+def give_back(spark: SparkSession | None = None) -> None:
+    """Return freed memory of this Python process to the system, and of the driver's JVM if spark is given."""
+    if spark is not None:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library: nothing to do
+        pass
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """A string column's values in UTF-8; NULL as empty."""
     cast = column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary())

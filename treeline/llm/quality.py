@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm._common import batches, bounded_batches, texts_of
+from treeline.llm._common import batches, bounded_batches, give_back, texts_of
 
 
 @dataclass(frozen=True)
@@ -106,7 +106,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-_EXAMPLE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("label", pa.int32()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+_EXAMPLE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("label", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("width", pa.int32())])
+
+
+def _id_type(s: Settings) -> type:
+    return np.uint16 if s.buckets <= 1 << 16 else np.int32
 
 
 def _examples(s: Settings):
@@ -117,7 +121,9 @@ def _examples(s: Settings):
                 for i, y, t in zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), texts_of(b.column("text")), strict=True):
                     counts = np.bincount(np.concatenate(features(t, powers, s)), minlength=s.buckets)
                     ids = np.flatnonzero(counts)
-                    yield i, zlib.crc32(t), y, ids, counts[ids]
+                    counts = counts[ids].astype(np.int32)
+                    counts = counts.astype(np.uint8) if counts.max() < 256 else counts
+                    yield i, zlib.crc32(t), y, ids.astype(_id_type(s)).tobytes(), counts.tobytes(), counts.itemsize
 
         return batches(_EXAMPLE, rows(), 200)
 
@@ -132,15 +138,20 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))), "doc_id").limit(s.max_train)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_examples(s), "doc_id long, h long, label int, ids array<int>, counts array<int>")
-    found = sample.toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
-    seen: set[int] = set()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_examples(s), "doc_id long, h long, label int, ids binary, counts binary, width int")
+    # ids and counts as bytes of the least width: they are most of what the driver holds
+    found = sample.toArrow()
+    rows = sorted(zip(found["doc_id"].to_pylist(), found["h"].to_pylist(), range(found.num_rows), strict=True))
+    first = [k for n, (i, _, k) in enumerate(rows) if not n or rows[n - 1][0] != i]
     examples = []
-    for i, y, ids, counts in zip(found["doc_id"].to_pylist(), found["label"].to_pylist(), found["ids"], found["counts"], strict=True):
-        if i not in seen:
-            seen.add(i)
-            examples.append((ids.values.to_numpy(), counts.values.to_numpy(), 1 if y else 0))
-    return train(examples, s)
+    for k in first:
+        ids, counts = (found[c][k].as_buffer() for c in ("ids", "counts"))
+        width = np.uint8 if found["width"][k].as_py() == 1 else np.int32
+        examples.append((np.frombuffer(ids, _id_type(s)), np.frombuffer(counts, width), 1 if found["label"][k].as_py() else 0))
+    model = train(examples, s)
+    del examples, found, rows
+    give_back(docs.sparkSession)
+    return model
 
 
 def _scores(model, s: Settings, keep: list[str], score: str):
