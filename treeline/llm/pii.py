@@ -6,7 +6,7 @@ import bisect
 import hashlib
 import pickle
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm._common import bounded_batches
+from treeline.llm._common import bounded_batches, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 # The leading look-behinds only spare starts that cannot be a leftmost match: inside a run the same continuation fails too.
@@ -187,65 +187,107 @@ def _context_negative(text: str, s: Span) -> bool:
 
 @dataclass(frozen=True)
 class Settings:
-    """max_spans: candidates that a fit takes at most of a kind and class, smallest hash first; precision: least share of
-    right ones among those that a kind's threshold lets through on the calibration fold."""
+    """precision: least share of right ones among those that a kind's threshold lets through on the held-out third;
+    local: distinct examples that the driver takes at most; more are summed by tasks, with the same result."""
 
     trees: int = 60
     depth: int = 3
     rate: float = 0.2
-    bins: int = 32
-    max_spans: int = 1500
     precision: float = 0.99
+    local: int = 200_000
+
+
+# Bins are fixed, so that nothing need be known of the examples to sort them in: shares by 1/31, all else by size.
+_RATIO = 6
+_EDGES = np.array([*range(17), 18, 20, 22, 24, 28, 32, 40, 48, 64, 96, 128, 192, 255, 256], float)
+BINS = len(_EDGES) + 1
+#: Gradients are multiples of 1/GRAIN and probabilities are told apart by 1/GRID, so that sums are exact in any order.
+GRAIN, GRID = float(1 << 20), 10_000
+
+
+def binned(x: np.ndarray) -> np.ndarray:
+    """The bin of each feature of each row."""
+    x = np.atleast_2d(np.asarray(x, float))
+    out = np.searchsorted(_EDGES, x, side="left")
+    if x.shape[1] == N_FEATURES:
+        out[:, _RATIO] = np.ceil(np.clip(x[:, _RATIO], 0, 1) * (BINS - 1))
+    return out.astype(np.uint8)
 
 
 class Boosted:
     """Gradient boosting for the logistic loss: trees of fixed depth over binned features, as arrays."""
 
     def __init__(self, s: Settings):
-        self.s, self.base, self.edges, self.trees = s, 0.0, [], []
+        self.s, self.base, self.edges, self.trees = s, 0.0, None, []
 
     def _bin(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(self.edges)], axis=1)
+        return binned(x) if self.edges is None else np.stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(self.edges)], axis=1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        self.edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, self.s.bins))) for k in range(x.shape[1])]
-        b, p0 = self._bin(x), np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    def margin(self, b: np.ndarray) -> np.ndarray:
+        """Sum of the trees for rows of bins."""
+        z = np.full(len(b), self.base)
+        for tree, leaf in self.trees:
+            z += leaf[_node(b, tree)]
+        return z
+
+    def sums(self, b: np.ndarray, y: np.ndarray, w: np.ndarray, tree: list[np.ndarray], z: np.ndarray | None = None) -> np.ndarray:
+        """Gradients and curvatures of rows with weights w, by node of the tree that is being grown, feature and bin."""
+        p = 1 / (1 + np.exp(-(self.margin(b) if z is None else z)))
+        g, h = (np.rint(v * GRAIN) / GRAIN * w for v in (y - p, np.maximum(p * (1 - p), 1e-6)))
+        node, n, f = _node(b, tree), 1 << len(tree), b.shape[1]
+        at = (node[:, None] * f + np.arange(f)) * BINS + b
+        return np.stack([np.bincount(at.ravel(), np.repeat(v, f), n * f * BINS).reshape(n, f, BINS) for v in (g, h)])
+
+    def grow(self, mean: float, sums: Callable[[list[np.ndarray]], np.ndarray]) -> Boosted:
+        """Fit all trees. mean: share of label 1; sums: what sums() gives for all examples and a tree that is being grown."""
+        p0 = min(max(mean, 1e-3), 1 - 1e-3)
         self.base = float(np.log(p0 / (1 - p0)))
-        z = np.full(len(y), self.base)
-        wide = self.s.bins + 1
         for _ in range(self.s.trees):
-            p = 1 / (1 + np.exp(-z))
-            g, h = y - p, np.maximum(p * (1 - p), 1e-6)
-            node, tree = np.zeros(len(y), np.int64), []
+            tree: list[np.ndarray] = []
             for level in range(self.s.depth):
-                n = 1 << level
-                best, cut = np.full(n, 1e-9), np.full((n, 2), [0, wide])
-                for k in range(b.shape[1]):
-                    at = node * wide + b[:, k]
-                    gs = np.bincount(at, g, n * wide).reshape(n, wide).cumsum(axis=1)
-                    hs = np.bincount(at, h, n * wide).reshape(n, wide).cumsum(axis=1)
-                    gt, ht = gs[:, -1:], hs[:, -1:]
-                    gain = gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - gt**2 / (ht + 1)
-                    j = gain.argmax(axis=1)
-                    better = gain[np.arange(n), j] > best
-                    best = np.where(better, gain[np.arange(n), j], best)
-                    cut[better] = np.stack([np.full(n, k), j], axis=1)[better]
-                tree.append(cut)
-                node = 2 * node + (b[np.arange(len(y)), cut[node, 0]] > cut[node, 1])
-            leaf = np.bincount(node, g, 1 << self.s.depth) / (np.bincount(node, h, 1 << self.s.depth) + 1) * self.s.rate
-            self.trees.append((tree, leaf))
-            z += leaf[node]
+                gs, hs = sums(tree).cumsum(axis=3)
+                gt, ht = gs[:, :, -1:], hs[:, :, -1:]
+                gain = (gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - gt**2 / (ht + 1)).reshape(1 << level, -1)
+                j, k = gain.argmax(axis=1), np.arange(1 << level)
+                none = gain[k, j] <= 1e-9
+                at, cut = np.where(none, 0, j // BINS), np.where(none, BINS, j % BINS)
+                tree.append(np.stack([at, cut], axis=1))
+                low = np.minimum(cut, BINS - 1)
+                left = np.stack([gs[k, at, low], hs[k, at, low]], axis=1)
+            whole = np.stack([gs[k, at, -1], hs[k, at, -1]], axis=1)
+            both = np.stack([left, whole - left], axis=1).reshape(-1, 2)  # leaves: each node's lower bins, then the others
+            self.trees.append((tree, both[:, 0] / (both[:, 1] + 1) * self.s.rate))
         return self
 
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+        """Fit on rows of features, which are few: bins are cut at their own quantiles."""
+        self.edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS - 1))) for k in range(x.shape[1])]
+        return self.fit_binned(self._bin(x), y, np.ones(len(y)))
+
+    def fit_binned(self, b: np.ndarray, y: np.ndarray, w: np.ndarray) -> Boosted:
+        """Fit on rows of bins with weights, all in memory."""
+        z = [0, np.zeros(0)]
+
+        def sums(tree: list[np.ndarray]) -> np.ndarray:
+            if not len(z[1]) and len(b):
+                z[1] = np.full(len(b), self.base)
+            for t, leaf in self.trees[z[0] :]:
+                z[1] += leaf[_node(b, t)]
+            z[0] = len(self.trees)
+            return self.sums(b, y, w, tree, z[1])
+
+        return self.grow(float(np.average(y, weights=w)) if len(y) else 0.5, sums)
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Probabilities."""
-        b, z = self._bin(x), np.full(len(x), self.base)
-        for tree, leaf in self.trees:
-            node = np.zeros(len(x), np.int64)
-            for cut in tree:
-                node = 2 * node + (b[np.arange(len(x)), cut[node, 0]] > cut[node, 1])
-            z += leaf[node]
-        return 1 / (1 + np.exp(-z))
+        return 1 / (1 + np.exp(-self.margin(self._bin(x))))
+
+
+def _node(b: np.ndarray, tree: list[np.ndarray]) -> np.ndarray:
+    node, row = np.zeros(len(b), np.int64), np.arange(len(b))
+    for cut in tree:
+        node = 2 * node + (b[row, cut[node, 0]] > cut[node, 1])
+    return node
 
 
 @dataclass
@@ -256,7 +298,8 @@ class Model:
     thresholds: tuple[float, float, float, float] = (2.0, 2.0, 2.0, 2.0)
 
 
-_EXAMPLE = "kind int, label int, h long, x array<float>"
+_EXAMPLE = "kind int, label int, h long, x binary"
+_CELL = pa.schema([("kind", pa.int32()), ("label", pa.int32()), ("h", pa.int64()), ("x", pa.binary())])
 
 
 def _hash(t: str) -> int:
@@ -322,57 +365,73 @@ def _built_in(n: int = 200) -> list[tuple[int, int, int, list[float]]]:
     return [(*k, x) for k, x in found.items()]
 
 
+def _cells(rows: list[tuple[int, int, int, list[float]]]) -> pa.RecordBatch:
+    """Examples with their features' bins as bytes."""
+    if not rows:
+        return pa.RecordBatch.from_pylist([], schema=_CELL)
+    kinds, labels, hashes, xs = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip((kinds, labels, hashes, [b.tobytes() for b in binned(np.array(xs))]), _CELL, strict=True)], schema=_CELL)
+
+
 def _collect(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in bounded_batches(it):
-        rows = [e for text in b.column("text").to_pylist() if text for e in _examples(text)]
-        kinds, labels, hashes, xs = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(labels, pa.int32()), pa.array(hashes, pa.int64()), pa.array(xs, pa.list_(pa.float32()))], names=["kind", "label", "h", "x"])
+        yield _cells([e for text in b.column("text").to_pylist() if text for e in _examples(text)])
 
 
-def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
-    """Fit on examples of docs (column text), at most max_spans of a kind and class, and the built-in ones; thresholds from a
-    held-out third."""
-    spans = docs.select("text").where(F.col("text").rlike("[0-9@]| at |\\(at\\)|\\[at\\]")).mapInArrow(_collect, _EXAMPLE)
-    rows = _least(spans, s.max_spans) + _built_in()
-    rows.sort(key=lambda r: (r[2], r[0], r[1]))
-    kind, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-    x = np.array([r[3] for r in rows], float)
-    held = np.zeros(len(rows), bool)
-    for k in range(4):
-        for label in (0, 1):
-            held[np.flatnonzero((kind == k) & (y == label))[::3]] = True
-    boosted = Boosted(s).fit(x[~held], y[~held])
-    p, thresholds = boosted.predict(x[held]), []
-    for k in range(4):
-        pk, yk = p[kind[held] == k], y[held][kind[held] == k]
-        order = np.argsort(-pk, kind="stable")
-        right = np.cumsum(yk[order]) / np.arange(1, len(order) + 1) if len(order) else np.zeros(0)
-        good = np.flatnonzero(right >= s.precision)
-        thresholds.append(float(max(0.9, pk[order][good[-1]])) if len(good) else 2.0)
-    return Model(boosted, tuple(thresholds))
+def _arrays(b: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """kind, label, weight and bins of rows of kind, label, x, n."""
+    x = np.frombuffer(b"".join(b["x"].to_pylist()), np.uint8).reshape(-1, N_FEATURES)
+    return b["kind"].to_numpy(), b["label"].to_numpy().astype(float), b["n"].to_numpy().astype(float), x
 
 
-def _least(spans: DataFrame, n: int) -> list[tuple[int, int, int, list[float]]]:
-    """The rows of the n smallest hashes of each kind and label; tasks keep n of each before the driver sees any."""
+def _tail(boosted: Boosted, kind: np.ndarray, y: np.ndarray, w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Weights by kind, label and step of the probability."""
+    step = np.floor(GRID / (1 + np.exp(-boosted.margin(x)))).astype(np.int64)
+    return np.bincount((kind * 2 + y.astype(np.int64)) * (GRID + 1) + step, w, 8 * (GRID + 1)).reshape(4, 2, GRID + 1)
 
-    def cut(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, int], dict[int, list[float]]] = {}
+
+def _summed(cells: DataFrame, of: Callable[..., np.ndarray]) -> np.ndarray:
+    """The sum of of(kind, label, weight, bins) over pieces of all rows; a task sends one array."""
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for b in it:
-            for k, y, h, x in zip(*(b.column(c).to_pylist() for c in ("kind", "label", "h", "x")), strict=True):
-                cell = best.setdefault((k, y), {})
-                cell[h] = x
-                if len(cell) >= 2 * n:
-                    best[k, y] = dict(sorted(cell.items())[:n])
-        rows = [(k, y, h, x) for (k, y), cell in best.items() for h, x in sorted(cell.items())[:n]]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float32())), strict=True)], names=["kind", "label", "h", "x"])
-
-    once = spans.mapInArrow(cut, _EXAMPLE).repartition(8).mapInArrow(cut, _EXAMPLE)
-    found = once.toArrow().to_pydict()
-    best: dict[tuple[int, int], dict[int, list[float]]] = {}
-    for k, y, h, x in zip(found["kind"], found["label"], found["h"], found["x"], strict=True):
-        best.setdefault((k, y), {})[h] = x
-    return [(k, y, h, x) for (k, y), cell in best.items() for h, x in sorted(cell.items())[:n]]
+            if b.num_rows:
+                part = of(*_arrays(b))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["v"])
+
+    return sum(pickle.loads(r[0]) for r in cells.mapInArrow(run, "v binary").toLocalIterator())
+
+
+def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
+    """Fit on every distinct example of docs (column text) and the built-in ones; thresholds from all of a held-out third.
+
+    Examples with equal bins are one row with a weight. Up to s.local such rows are summed on the driver, more by tasks,
+    in a pass for each level of each tree; the sums are exact, so the model is the same.
+    """
+    spark = docs.sparkSession
+    spans = docs.select("text").where(F.col("text").rlike("[0-9@]| at |\\(at\\)|\\[at\\]")).mapInArrow(_collect, _EXAMPLE)
+    every = spans.union(spark.createDataFrame(pa.Table.from_batches([_cells(_built_in())])).select("kind", "label", "h", "x"))
+    distinct = every.distinct().withColumn("held", F.pmod(F.xxhash64("h"), F.lit(3)) == 0)
+    cells, _ = materialize(distinct.groupBy("held", "kind", "label", "x").agg(F.count("*").alias("n")), "examples")
+    boosted = Boosted(s)
+    learn, held = cells.where("NOT held").select("kind", "label", "x", "n"), cells.where("held").select("kind", "label", "x", "n")
+    if cells.limit(s.local + 1).count() <= s.local:
+        _, y, w, x = _arrays(learn.toArrow())
+        boosted.fit_binned(x, y, w)
+        tail = _tail(boosted, *_arrays(held.toArrow()))
+    else:
+        ones, total = learn.agg(F.sum(F.col("label") * F.col("n")), F.sum("n")).first()
+        boosted.grow(ones / total, lambda tree: _summed(learn, lambda _, y, w, x: boosted.sums(x, y, w, tree)))
+        tail = _summed(held, lambda *a: _tail(boosted, *a))
+    up = tail[:, :, ::-1].cumsum(axis=2)[:, :, ::-1]  # those of at least each step
+    thresholds = []
+    for wrong, right in up:
+        good = np.flatnonzero((right >= s.precision * (right + wrong)) & (right > 0))
+        thresholds.append(float(max(0.9, good[0] / GRID)) if len(good) else 2.0)
+    return Model(boosted, tuple(thresholds))
 
 
 def all_spans(text: str, model: Model, base: list[Span] | None = None) -> list[Span]:
