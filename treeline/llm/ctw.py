@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm._common import bounded_batches, materialize, texts_of
+from treeline.llm._common import bounded_batches, give_back, materialize, texts_of
 
 #: Bytes of context; with the byte itself a packed gram takes DEPTH + 1 of a long's eight bytes.
 DEPTH = 5
@@ -111,8 +111,11 @@ def _count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks.setdefault(s, {}).setdefault(k, _Counts()).add(texts, held)
         for s in [s for s in blocks if s != last]:
             yield from _facts(blocks.pop(s))
+            give_back()
     for found in blocks.values():
         yield from _facts(found)
+    blocks.clear()
+    give_back()
 
 
 def _facts(blocks: dict[int, _Counts]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +206,22 @@ def _lower(piece: pa.Table, above: pa.Table) -> pa.Table:
     return pa.table({"g": piece["g"], "lp": t.scores(above["known"].to_numpy()[order], above["rest"].to_numpy()[order])})
 
 
+def _then_give_back(work):
+    """work, after which a worker keeps no freed memory for the tasks that come after."""
+
+    def upper(piece: pa.Table) -> pa.Table:
+        out = work(piece)
+        give_back()
+        return out
+
+    def lower(piece: pa.Table, above: pa.Table) -> pa.Table:
+        out = work(piece, above)
+        give_back()
+        return out
+
+    return upper if work is _upper else lower
+
+
 def predictions(counts: DataFrame) -> DataFrame:
     """g, lp: log10 of the probability of each gram's byte in its context. counts: g, n (0 where only seen to be scored).
 
@@ -212,7 +231,7 @@ def predictions(counts: DataFrame) -> DataFrame:
     pieces = max(1, counts.count() // PIECE)
     deal = lambda ctx: F.pmod(F.xxhash64(ctx.bitwiseAND(low)), F.lit(pieces)).cast("int")
     dealt = counts.select("g", "n", deal(F.shiftrightunsigned("g", 8)).alias("piece"))
-    level, _ = materialize(dealt.groupBy("piece").applyInArrow(_upper, "ctx long, node int, a long, b long, lw double, stop double"), "ctw")
+    level, _ = materialize(dealt.groupBy("piece").applyInArrow(_then_give_back(_upper), "ctx long, node int, a long, b long, lw double, stop double"), "ctw")
     trees, a, b = [level], F.col("a").cast("double"), F.col("b").cast("double")
     for d in range(SPLIT - 1, -1, -1):
         up = level.groupBy(F.col("ctx").bitwiseAND((1 << (8 * d)) - 1).alias("ctx"), "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("lw").alias("below"))
@@ -229,7 +248,7 @@ def predictions(counts: DataFrame) -> DataFrame:
         joined = trees[d].join(above, (F.col("ctx").bitwiseAND((1 << (8 * (d - 1))) - 1) == F.col("_up")) & (F.col("node") == F.col("_node")))
         at = joined.select("ctx", "node", (F.col("_known") + F.col("_rest") * F.col("stop") * kt).alias("known"), (F.col("_rest") * (1.0 - F.col("stop"))).alias("rest"))
     at = at.withColumn("piece", deal(F.col("ctx")))
-    return dealt.groupBy("piece").cogroup(at.groupBy("piece")).applyInArrow(_lower, "g long, lp double")
+    return dealt.groupBy("piece").cogroup(at.groupBy("piece")).applyInArrow(_then_give_back(_lower), "g long, lp double")
 
 
 class _Lookup:
@@ -329,4 +348,4 @@ def _score_all(docs: DataFrame) -> DataFrame:
     lp, _ = materialize(predictions(counted), "predictions")
     no_word, no_gram = F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("g")
     facts = used.where("g IS NOT NULL").join(lp, "g").select("block", "g", no_word, F.col("lp").alias("value")).union(used.where("word IS NOT NULL").join(words, "word").select("block", no_gram, "word", F.col("c").cast("double").alias("value")))
-    return own.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(_score(int(total), int(distinct)), _COLUMNS)
+    return own.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(_then_give_back(_score(int(total), int(distinct))), _COLUMNS)
